@@ -1,0 +1,5 @@
+"""No streaming operators: the query surface that this engine covers is batch only.
+
+Every Relation method is a DataFrame transformation, so filter and project
+also apply to a DataFrame from readStream.
+"""
