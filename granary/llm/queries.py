@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import decontamination, fertility, sharding, token_counts
+from granary.llm import (
+    chat_windows, decontamination, fertility, html_text, jaccard_join, language_id, mixing, sharding, token_counts,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +30,30 @@ def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: Token targets of the mixture, in proportion; the anchor keeps what it has.
+DOMAIN_WEIGHTS, ANCHOR = {"high": 0.94, "low": 0.05, "toxic": 0.01}, "high"
+
+
+def quality_domain() -> Column:
+    """toxic, low or high, from the columns of labels; null where a label is missing."""
+    toxic, quality = F.col("toxic"), F.col("quality")
+    known = toxic.isNotNull() & quality.isNotNull()
+    return F.when(known, F.when(toxic > 0, "toxic").when(quality > 0, "high").otherwise("low"))
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of labelled documents, each with its domain."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", "text", quality_domain().alias("domain"))
+
+
+def op3_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed, model, _ = mixing.mix(docs, domain_labels(spark, sf_dir), DOMAIN_WEIGHTS, ANCHOR, keep=["doc_id"])
+    shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -35,6 +63,42 @@ def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_windows.digest_windows(chat_windows.format_windows(turns.union(planted)))
+
+
+def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    dictionaries = language_id.learn(docs.filter(~held_out))
+    found = language_id.identify(docs, dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(3) == 1
+    known = docs.filter(~held_out).select("doc_id", "text").join(labels.filter(~held_out), "doc_id")
+    rated = toxicity.rate(docs, toxicity.learn(known))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 #: Windows of eight words, or all words of a shorter item, joined by blanks.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, 
@@ -57,8 +121,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tokenizer_fertility": op1_tokenizer_fertility,
         "op2_wu_manber": op2_wu_manber,
+        "op3_soft_mixture": op3_soft_mixture,
         "op4_token_counts": op4_token_counts,
         "op5_interleaved_shards": op5_interleaved_shards,
+        "op6_chat_windows": op6_chat_windows,
+        "op7_block_rules": op7_block_rules,
+        "op8_compression_language": op8_compression_language,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_toxicity": op10_toxicity,
     }
 
 
