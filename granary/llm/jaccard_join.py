@@ -306,8 +306,8 @@ def jaccard_components(
         counts[n] = int(c)
     # Copies are indexed under their representative: of equal sets, only one row's signatures stay.
     copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep").select(F.col("id").alias("copy"))
-    found = index(docs.join(copies, F.col(key) == F.col("copy"), "left_anti"), size, threshold, counts, key, text)
-    members = _members(found, counts, threshold)
+    single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
+    members = _members(stored(index(single, size, threshold, counts, key, text)), counts, threshold)
     needed = members.select(F.col("id").alias("needed")).distinct()
     bytes_of = row_function(lambda t: (_set_of(t, size).tobytes(),), "s binary")
     sets = docs.join(needed, F.col(key) == F.col("needed"), "left_semi").select(
