@@ -24,7 +24,8 @@ leaves out more: nothing is capped or lost.
 **Candidates.** Texts with equal sets are one class, told by a 128-bit digest.
 Within a bucket of equal signatures, first every member is compared with one
 centre, then those of other components with the member that has most links,
-and at last all pairs that are still in different components. Links inside a
+and at last, block by block, all that are still in different components;
+a parity sketch proves most of those apart without their sets. Links inside a
 component add nothing to it, so groups of alike texts cost about their size,
 not its square. Every comparison is exact, on the whole sets.
 
@@ -40,6 +41,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import (
-    arrow_schema, as_bytes, fields, lower_ascii, mix, row_function, session, shingles, stored,
+    arrow_schema, as_bytes, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored,
 )
 from granary.llm.components import components
 
@@ -60,7 +62,9 @@ GROWTH = 1.2
 #: What a chance meeting costs, in signatures.
 MEETING = 4.0
 
-SETS = "id bigint, n bigint, digest binary"
+#: Bits of a sketch; members of a block.
+SKETCH, BLOCK = 2048, 512
+
 #: cell: band * 2^32 + segment; info: 4 * (weight that the set left out in the band) + the segment's weight.
 SIGNATURES = "id bigint, cell bigint, info int, h bigint"
 
@@ -263,6 +267,52 @@ def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFram
     return across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _set_and_sketch(set_: np.ndarray) -> tuple[bytes, bytes]:
+    """A set's bytes, and SKETCH bits that tell for each place whether an odd number of shingles falls on it."""
+    places = (mix(set_, 1) % np.uint64(SKETCH)).astype(np.int64)
+    return set_.tobytes(), np.packbits(np.bincount(places, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def _close(left: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of a bucket in different components, but for those that their sketches prove apart.
+
+    Two sketches differ in no more places than the sets differ in shingles. A bucket is dealt to blocks of
+    about BLOCK members, and every two blocks meet in a group of their own, whatever the bucket's size.
+    """
+    num, den = threshold
+    sized = left.groupBy("cell", "h").agg(F.count(F.lit(1)).alias("c")).select(
+        F.col("cell").alias("cell_s"), F.col("h").alias("h_s"), F.ceil(F.col("c") / BLOCK).alias("blocks")
+    )
+    marks = sets.select(F.col("id").alias("i"), F.expr("length(s) div 8").alias("n"), "sketch")
+    dealt = left.join(sized, (F.col("cell") == F.col("cell_s")) & (F.col("h") == F.col("h_s"))).join(marks, F.col("id") == F.col("i"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("cell", "h", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
+        (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"),
+        "id", "label", "n", "sketch",
+    )
+
+    def compare(rows: list[tuple]) -> list[tuple]:
+        ids, labels, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+        second = np.array([r[2] for r in rows])
+        out = []
+        for k, r in enumerate(rows):
+            most = (den - num) * (n[k] + n) // (den + num)
+            near = np.flatnonzero(r[1] & second & (labels != labels[k]) & (np.abs(n - n[k]) <= most))
+            if len(near):
+                apart = np.bitwise_count(bits[near] ^ bits[k]).sum(1)
+                out += [(min(r[3], x), max(r[3], x)) for x in ids[near[apart <= most[near]]].tolist()]
+        return out
+
+    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        for _, group in groupby((r for batch in batches for r in batch), key=lambda r: r[0]):
+            yield compare(list(group))
+
+    ordered = dealt.repartition("group").sortWithinPartitions("group")
+    return mapped(ordered, run, "a bigint, b bigint").distinct()
+
+
 def _connected(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(id, label) of the sets that have links."""
     first = members.groupBy("cell", "h").agg(F.min("id").alias("centre"))
@@ -278,9 +328,7 @@ def _connected(members: DataFrame, sets: DataFrame, threshold: tuple[int, int])
     tried = tried.union(second)
     labels = components(tried.filter("linked"))
     left = _open(left.select("id", "cell", "h"), labels)
-    other = left.select(F.col("id").alias("o"), F.col("cell").alias("cell_o"), F.col("h").alias("h_o"), F.col("label").alias("label_o"))
-    same = (F.col("cell") == F.col("cell_o")) & (F.col("h") == F.col("h_o")) & (F.col("id") < F.col("o"))
-    rest = left.join(other, same & (F.col("label") != F.col("label_o"))).select(*_pairs("id", "o")).distinct()
+    rest = _close(left, sets, threshold)
     third = _verified(_crossing(rest, labels, tried), sets, threshold)
     return components(tried.union(third).filter("linked"))
 
@@ -309,10 +357,9 @@ def jaccard_components(
     single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
     members = _members(stored(index(single, size, threshold, counts, key, text)), counts, threshold)
     needed = members.select(F.col("id").alias("needed")).distinct()
-    bytes_of = row_function(lambda t: (_set_of(t, size).tobytes(),), "s binary")
-    sets = docs.join(needed, F.col(key) == F.col("needed"), "left_semi").select(
-        F.col(key).cast("bigint").alias("id"), bytes_of(as_bytes(text))["s"].alias("s")
-    )
+    made = row_function(lambda t: _set_and_sketch(_set_of(t, size)), "s binary, sketch binary")
+    chosen = docs.join(needed, F.col(key) == F.col("needed"), "left_semi")
+    sets = chosen.select(F.col(key).cast("bigint").alias("id"), made(as_bytes(text)).alias("m")).select("id", "m.s", "m.sketch")
     labels = _connected(members, stored(sets), threshold)
     joined = rows.join(repeated, F.col("digest") == F.col("same"), "left").withColumn("node", F.coalesce("rep", "id"))
     named = labels.select(F.col("id").alias("linked"), "label")
