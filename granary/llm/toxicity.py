@@ -92,6 +92,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def score(model: Model, text: bytes, threshold: float = THRESHOLD) -> tuple[float, int]:
+    if model.intercept == -np.inf:
+        return 0.0, 0
     places = codes(text)
     places = np.unique(places[model.weights[places] != 0])
     z = float(model.weights[places].sum()) + model.intercept
