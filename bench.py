@@ -17,7 +17,7 @@ from granary import queries
 
 RUNS = 5
 HEADLINES = (
-    "tpch_q1", "tpch_q6", "sql_q6", "agg_group_single", "agg_over_expr", "agg_partial_final",
+    "tpch_q1", "tpch_q6", "sql_q6", "agg_group_single", "agg_over_expr", "agg_group_multi",
     "join_inner", "join_filter_pushdown", "sort_asc", "topn_desc", "filter_range",
 )
 
