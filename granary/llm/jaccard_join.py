@@ -107,7 +107,7 @@ def layout(band: int, sets: int, threshold: tuple[int, int]) -> tuple[int, int,
     if not differ:  # only equal sets link, and they are one class
         return 0, 0, 0
     best = (math.inf, 0, 0, 0)
-    for spare in sorted({1, differ // 20 + 1, differ // 8 + 1}):
+    for spare in sorted({1} | {differ // part + 1 for part in (20, 8, 5, 4, 3)}):
         weight = differ + 1 + spare
         for m in sorted({weight, -(-weight * 7 // 8), -(-weight * 3 // 4), -(-weight * 5 // 8), -(-weight // 2)}):
             d = weight - m
