@@ -13,6 +13,8 @@ from granary.llm.queries import ANCHOR, DOMAIN_WEIGHTS, quality_domain, table
 
 #: Near duplicates: runs of five words, Jaccard similarity of at least 80 / 100.
 NEAR_SIZE, NEAR_THRESHOLD = 5, (80, 100)
+#: Slices of the signatures, of which one at a time is on disk.
+NEAR_PARTS = 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies."""
-    return jaccard_join.representatives(docs, NEAR_SIZE, NEAR_THRESHOLD).select(*docs.columns)
+    return jaccard_join.representatives(docs, NEAR_SIZE, NEAR_THRESHOLD, parts=NEAR_PARTS).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,11 +38,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/granary/{uuid.uuid4().hex}"
 
 
+#: Spark's setting that frees the shuffle files of a finished query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes the rows to the shared folder and reads them back, which cuts the lineage for every executor.
+
+    The shuffle files of the write are freed at its end. The second result is the folder.
+    """
+    spark = session(df)
+    path, before = scratch_dir(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which cuts the lineage for every executor."""
-    path = scratch_dir(session(df))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df)[0]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that stored_at wrote, in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fields(ddl: str) -> T.StructType:

@@ -21,6 +21,10 @@ weigh E or less; a set with more of them is indexed in full. Weakness depends
 on the signature alone, so the guarantee holds from the side of the set that
 leaves out more: nothing is capped or lost.
 
+**Slices.** The signatures of every parts-th segment are made, counted and
+thinned out to the shared ones together, and then deleted, so the shared
+folder and the shuffles hold one slice of them; each slice reads the texts.
+
 **Candidates.** Texts with equal sets are one class, told by a 128-bit digest.
 Within a bucket of equal signatures, first every member is compared with one
 centre, then those of other components with the member that has most links,
@@ -40,7 +44,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import groupby
 
 import numpy as np
@@ -50,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import (
-    arrow_schema, as_bytes, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored,
+    arrow_schema, as_bytes, deleted, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored, stored_at,
 )
 from granary.llm.components import components
 
@@ -121,28 +125,37 @@ def layout(band: int, sets: int, threshold: tuple[int, int]) -> tuple[int, int,
     return best[1:]
 
 
-def signatures(set_: np.ndarray, band: int, m: int, d: int, spare: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, info, content hash) arrays for a set in a band; empty segments are left out as far as spare allows."""
+def signatures(
+    set_: np.ndarray, band: int, m: int, d: int, spare: int, part: int = 0, parts: int = 1
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, info, content hash) arrays for a set in a band; empty segments are left out as far as spare allows.
+
+    Of the segments, those of one slice are given: segment % parts == part.
+    """
     scrambled = mix(set_ + np.uint64(band), 2)
     segment = (((scrambled >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
-    value = mix(set_, 0)
-    order = np.argsort(segment, kind="stable")
-    segment, value = segment[order], value[order]
     sizes = np.bincount(segment, minlength=m)
-    sums = np.zeros(m, np.uint64)
-    filled = np.flatnonzero(sizes)
-    sums[filled] = np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes[filled])[:-1])))
     weights = np.where(np.arange(m) < d, 2, 1)
     weak = (sizes == 0) | ((sizes == 1) & (weights == 2))
     left = int(weights[weak].sum())
     if left > spare:
         left, weak = 0, np.zeros(m, bool)
+    mine = np.arange(m) % parts == part
+    set_, segment = (set_, segment) if parts == 1 else (set_[mine[segment]], segment[mine[segment]])
+    value = mix(set_, 0)
+    order = np.argsort(segment, kind="stable")
+    segment, value = segment[order], value[order]
+    sums, filled = np.zeros(m, np.uint64), np.flatnonzero((sizes > 0) & mine)
+    if len(filled):
+        sums[filled] = np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes[filled])[:-1])))
     cell, info = (band << 32) + np.arange(m), 4 * left + weights
-    kept = np.flatnonzero(~weak)
-    yield cell[kept], info[kept], sums[kept]
+    salt = mix(cell.astype(np.uint64), 1)
+    kept = np.flatnonzero(~weak & mine)
+    yield cell[kept], info[kept], sums[kept] + salt[kept]
     if d:
-        at = segment[(segment < d) & ~weak[segment]]
-        yield cell[at], info[at], sums[at] - value[(segment < d) & ~weak[segment]]
+        one = (segment < d) & ~weak[segment]
+        at = segment[one]
+        yield cell[at], info[at], sums[at] - value[one] + salt[at]
 
 
 def _set_of(text: bytes, size: int) -> np.ndarray:
@@ -160,13 +173,16 @@ def shingle_sets(docs: DataFrame, size: int, key: str = "doc_id", text: str = "t
     return docs.select(F.col(key).cast("bigint").alias("id"), made.alias("s")).select("id", "s.n", "s.digest")
 
 
-def index(docs: DataFrame, size: int, threshold: tuple[int, int], sets_in_band: dict[int, int], key: str, text: str) -> DataFrame:
-    """The signatures of each row."""
+def index(
+    docs: DataFrame, size: int, threshold: tuple[int, int], sets_in_band: dict[int, int], key: str, text: str,
+    part: int = 0, parts: int = 1,
+) -> DataFrame:
+    """The signatures of each row, in the segments of a slice; h tells the cell too, but for chance."""
     schema = arrow_schema(SIGNATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple] = []
+            made: list[tuple] = []
             held = 0
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = _set_of(data, size)
@@ -174,13 +190,13 @@ def index(docs: DataFrame, size: int, threshold: tuple[int, int], sets_in_band:
                     continue
                 for band in bands_of(len(s), threshold):
                     plan = layout(band, sets_in_band.get(band, 1), threshold)
-                    for cell, info, h in signatures(s, band, *plan) if plan[0] else ():
-                        parts.append((np.full(len(h), doc), cell, info, h))
+                    for cell, info, h in signatures(s, band, *plan, part, parts) if plan[0] else ():
+                        made.append((np.full(len(h), doc), cell, info, h))
                         held += len(h)
                 if held > 100_000:
-                    yield _batch(parts, schema)
-                    parts, held = [], 0
-            yield _batch(parts, schema)
+                    yield _batch(made, schema)
+                    made, held = [], 0
+            yield _batch(made, schema)
 
     return docs.select(F.col(key).cast("bigint"), as_bytes(text)).mapInArrow(run, fields(SIGNATURES))
 
@@ -193,12 +209,17 @@ def _batch(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
 
-def _members(found: DataFrame, sets_in_band: dict[int, int], threshold: tuple[int, int]) -> DataFrame:
-    """(id, cell, h) for each signature that two sets or more share, without those that a set leaves out."""
-    many = found.groupBy("cell", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    many = many.select(F.col("cell").alias("cell_m"), F.col("h").alias("h_m"), "c")
-    same = (F.col("cell") == F.col("cell_m")) & (F.col("h") == F.col("h_m"))
-    shared = stored(found.join(many, same).select("id", "cell", "info", "h", "c"))
+def _shared(found: DataFrame) -> DataFrame:
+    """The signatures that two sets or more have, with their number. They are written once and deleted."""
+    written, path = stored_at(found)
+    many = written.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumnRenamed("h", "h_m")
+    shared = stored(written.join(many, F.col("h") == F.col("h_m")).select("id", "cell", "info", "h", "c"))
+    deleted(found.sparkSession, path)
+    return shared
+
+
+def _members(shared: DataFrame, sets_in_band: dict[int, int], threshold: tuple[int, int]) -> DataFrame:
+    """(id, cell, h) for each shared signature, without those that a set leaves out."""
     hot = shared.filter(F.col("c") > HOT)
     spare = {b: layout(b, n, threshold)[2] for b, n in sets_in_band.items()}
     if not spare:
@@ -334,12 +355,13 @@ def _connected(members: DataFrame, sets: DataFrame, threshold: tuple[int, int])
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text",
+    parts: int = 1,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; the first column has the key's name.
 
-    threshold is a fraction (numerator, denominator). Rows are read twice, and the texts that share a
-    signature with another a third time.
+    threshold is a fraction (numerator, denominator); parts is the number of slices. Rows are read once and
+    then once a slice, and the texts that share a signature with another once more.
     """
     session(docs)
     rows = stored(shingle_sets(docs, size, key, text))
@@ -355,7 +377,8 @@ def jaccard_components(
     # Copies are indexed under their representative: of equal sets, only one row's signatures stay.
     copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep").select(F.col("id").alias("copy"))
     single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
-    members = _members(stored(index(single, size, threshold, counts, key, text)), counts, threshold)
+    slices = [_shared(index(single, size, threshold, counts, key, text, part, parts)) for part in range(parts)]
+    members = _members(reduce(DataFrame.union, slices), counts, threshold)
     needed = members.select(F.col("id").alias("needed")).distinct()
     made = row_function(lambda t: _set_and_sketch(_set_of(t, size)), "s binary, sketch binary")
     chosen = docs.join(needed, F.col(key) == F.col("needed"), "left_semi")
@@ -376,9 +399,11 @@ def _band(n):
     return at
 
 
-def representatives(docs: DataFrame, size: int, threshold: tuple[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(
+    docs: DataFrame, size: int, threshold: tuple[int, int], key: str = "doc_id", text: str = "text", parts: int = 1
+) -> DataFrame:
     """docs with one row for each component: that of the least id. Rows with a null id all stay."""
-    found = jaccard_components(docs, size, threshold, key, text)
+    found = jaccard_components(docs, size, threshold, key, text, parts)
     drop = stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")).distinct())
     kept = docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
     again = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm_data import documents
 
@@ -49,8 +50,9 @@ def corpus(seed=5):
 def test_components_equal_brute_force(spark, monkeypatch, size, threshold, hot):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
     rows = corpus()
-    got = jaccard_join.jaccard_components(documents(spark, rows), size, threshold).collect()
-    assert sorted(map(tuple, got)) == brute(rows, size, *threshold)
+    for parts in (1, 3):
+        got = jaccard_join.jaccard_components(documents(spark, rows), size, threshold, parts=parts).collect()
+        assert sorted(map(tuple, got)) == brute(rows, size, *threshold)
 
 
 def test_every_layout_carries_its_weight():
@@ -62,6 +64,15 @@ def test_every_layout_carries_its_weight():
                 assert not differ and not m or m + d == differ + 1 + spare and d <= m
 
 
+def test_slices_are_the_whole():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 60, 300):
+        set_ = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+        for plan in ((20, 0, 4), (20, 12, 9), (20, 20, 1)):
+            rows = lambda *p: sorted((*x,) for made in jaccard_join.signatures(set_, 5, *plan, *p) for x in zip(*map(list, made)))  # noqa: E731, B023
+            assert sorted(x for part in range(3) for x in rows(part, 3)) == rows()
+
+
 def test_partners_share_a_band():
     for n in range(1, 400):
         for partner in range(n, n * 100 // 80 + 1):
