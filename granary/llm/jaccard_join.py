@@ -28,10 +28,11 @@ folder and the shuffles hold one slice of them; each slice reads the texts.
 **Candidates.** Texts with equal sets are one class, told by a 128-bit digest.
 Within a bucket of equal signatures, first every member is compared with one
 centre, then those of other components with the member that has most links,
-and at last, block by block, all that are still in different components;
-a parity sketch proves most of those apart without their sets. Links inside a
-component add nothing to it, so groups of alike texts cost about their size,
-not its square. Every comparison is exact, on the whole sets.
+and at last, block by block, all that are still in different components.
+Parity sketches prove most unlinked pairs apart; the sets of the others are
+made and compared. Links inside a component add nothing to it, so groups of
+alike texts cost about their size, not its square. Every comparison is exact:
+a sketch only proves, and the rest are compared on their whole sets.
 
 A null or empty text and one without words has an empty set and no links; its
 component is itself. Rows of one id are one document with several texts. A
@@ -260,12 +261,60 @@ def _overlap(threshold: tuple[int, int]):
     return row_function(one, "linked boolean")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """pairs (a, b) with linked, from the whole sets of both."""
-    left = sets.select(F.col("id").alias("ia"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("ib"), F.col("s").alias("sb"))
-    both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
-    return stored(both.select("a", "b", _overlap(threshold)("sa", "sb")["linked"].alias("linked")))
+def _near(threshold: tuple[int, int]):
+    """A column function: whether the sizes and wide sketches of two sets leave it open that they link."""
+    num, den = threshold
+
+    def one(n_a: int, x: bytes, n_b: int, y: bytes) -> tuple[bool]:
+        most = (den - num) * (n_a + n_b) // (den + num)
+        if abs(n_a - n_b) > most:
+            return (False,)
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        bits = min(len(a), len(b))
+        folded = [np.bitwise_xor.reduce(w.reshape(-1, bits), axis=0) for w in (a, b)]
+        return (int(np.bitwise_count(folded[0] ^ folded[1]).sum()) <= most,)
+
+    return row_function(one, "near boolean")
+
+
+class Texts:
+    """What pairs are compared by: marks (id, n, sketch, wide) of every member, and the sets of those asked for."""
+
+    def __init__(self, docs: DataFrame, size: int) -> None:
+        self.docs, self.size = docs, size
+
+    def _of(self, ids: DataFrame, function, ddl: str) -> DataFrame:
+        """The fields of ddl for each text of ids (one column)."""
+        wanted = ids.select(F.col(ids.columns[0]).alias("wanted")).distinct()
+        chosen = self.docs.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+        made = chosen.select("id", row_function(function, ddl)(as_bytes("t")).alias("m"))
+        return stored(made.select("id", "m.*"))
+
+    def mark(self, ids: DataFrame) -> None:
+        size = self.size
+        self.marks = self._of(ids, lambda t: _marks(_set_of(t, size)), "n bigint, sketch binary, wide binary")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        size = self.size
+        return self._of(ids, lambda t: (_set_of(t, size).tobytes(),), "s binary")
+
+
+def _beside(pairs: DataFrame, of_id: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of of_id for both, ending in _a and _b."""
+    for side in ("a", "b"):
+        named = of_id.select(*[F.col(c).alias(f"{c}_{side}") for c in of_id.columns])
+        pairs = pairs.join(named, F.col(side) == F.col(f"id_{side}"))
+    return pairs
+
+
+def _verified(pairs: DataFrame, texts: Texts, threshold: tuple[int, int]) -> DataFrame:
+    """pairs (a, b) with linked. Where the sketches leave it open, the whole sets of both are compared."""
+    marked = _beside(pairs, texts.marks.select("id", "n", "wide"))
+    near = stored(marked.select("a", "b", _near(threshold)("n_a", "wide_a", "n_b", "wide_b")["near"].alias("near")))
+    left = near.filter("near").select("a", "b").distinct()
+    both = _beside(left, texts.sets(left.select("a").union(left.select("b"))))
+    exact = both.select("a", "b", _overlap(threshold)("s_a", "s_b")["linked"].alias("linked"))
+    return stored(exact.union(near.filter(~F.col("near")).select("a", "b", F.lit(False).alias("linked"))))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -288,13 +337,22 @@ def _crossing(pairs: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFram
     return across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _set_and_sketch(set_: np.ndarray) -> tuple[bytes, bytes]:
-    """A set's bytes, and SKETCH bits that tell for each place whether an odd number of shingles falls on it."""
-    places = (mix(set_, 1) % np.uint64(SKETCH)).astype(np.int64)
-    return set_.tobytes(), np.packbits(np.bincount(places, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+def _parities(set_: np.ndarray, bits: int) -> bytes:
+    """Bits that tell for each place whether an odd number of shingles falls on it.
+
+    bits is a power of two; the exclusive or of the halves is the same with half as many.
+    """
+    places = (mix(set_, 1) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _marks(set_: np.ndarray) -> tuple[int, bytes, bytes]:
+    """A set's size, its sketch of SKETCH bits, and a wide one of as many bits as shingles or more."""
+    wide = max(SKETCH, 1 << max(len(set_) - 1, 0).bit_length())
+    return len(set_), _parities(set_, SKETCH), _parities(set_, wide)
 
 
-def _close(left: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _close(left: DataFrame, marks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of a bucket in different components, but for those that their sketches prove apart.
 
     Two sketches differ in no more places than the sets differ in shingles. A bucket is dealt to blocks of
@@ -304,7 +362,7 @@ def _close(left: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Data
     sized = left.groupBy("cell", "h").agg(F.count(F.lit(1)).alias("c")).select(
         F.col("cell").alias("cell_s"), F.col("h").alias("h_s"), F.ceil(F.col("c") / BLOCK).alias("blocks")
     )
-    marks = sets.select(F.col("id").alias("i"), F.expr("length(s) div 8").alias("n"), "sketch")
+    marks = marks.select(F.col("id").alias("i"), "n", "sketch")
     dealt = left.join(sized, (F.col("cell") == F.col("cell_s")) & (F.col("h") == F.col("h_s"))).join(marks, F.col("id") == F.col("i"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -334,10 +392,10 @@ def _close(left: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Data
     return mapped(ordered, run, "a bigint, b bigint").distinct()
 
 
-def _connected(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _connected(members: DataFrame, texts: Texts, threshold: tuple[int, int]) -> DataFrame:
     """(id, label) of the sets that have links."""
     first = members.groupBy("cell", "h").agg(F.min("id").alias("centre"))
-    tried = _verified(_star(members, first), sets, threshold)
+    tried = _verified(_star(members, first), texts, threshold)
     labels = components(tried.filter("linked"))
     left = _open(members, labels)
     links = tried.filter("linked")
@@ -345,12 +403,12 @@ def _connected(members: DataFrame, sets: DataFrame, threshold: tuple[int, int])
     ranked = left.join(degree, F.col("id") == F.col("d"), "left")
     most = F.max_by("id", F.struct(F.coalesce("links", F.lit(0)), -F.col("id")))
     hubs = ranked.groupBy("cell", "h").agg(most.alias("centre"))
-    second = _verified(_crossing(_star(left, hubs), labels, tried), sets, threshold)
+    second = _verified(_crossing(_star(left, hubs), labels, tried), texts, threshold)
     tried = tried.union(second)
     labels = components(tried.filter("linked"))
     left = _open(left.select("id", "cell", "h"), labels)
-    rest = _close(left, sets, threshold)
-    third = _verified(_crossing(rest, labels, tried), sets, threshold)
+    rest = _close(left, texts.marks, threshold)
+    third = _verified(_crossing(rest, labels, tried), texts, threshold)
     return components(tried.union(third).filter("linked"))
 
 
@@ -379,11 +437,9 @@ def jaccard_components(
     single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
     slices = [_shared(index(single, size, threshold, counts, key, text, part, parts)) for part in range(parts)]
     members = _members(reduce(DataFrame.union, slices), counts, threshold)
-    needed = members.select(F.col("id").alias("needed")).distinct()
-    made = row_function(lambda t: _set_and_sketch(_set_of(t, size)), "s binary, sketch binary")
-    chosen = docs.join(needed, F.col(key) == F.col("needed"), "left_semi")
-    sets = chosen.select(F.col(key).cast("bigint").alias("id"), made(as_bytes(text)).alias("m")).select("id", "m.s", "m.sketch")
-    labels = _connected(members, stored(sets), threshold)
+    texts = Texts(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")), size)
+    texts.mark(members.select("id"))
+    labels = _connected(members, texts, threshold)
     joined = rows.join(repeated, F.col("digest") == F.col("same"), "left").withColumn("node", F.coalesce("rep", "id"))
     named = labels.select(F.col("id").alias("linked"), "label")
     out = joined.join(named, F.col("node") == F.col("linked"), "left")
