@@ -70,18 +70,28 @@ def features(text: bytes) -> tuple[int, set[bytes]]:
     return len(words), out
 
 
-def fit(rows: list[set[bytes]], labels: list[str]) -> Model:
+def packed(text: bytes) -> bytes:
+    """The features of a text, sorted, one a line; no feature holds a line break."""
+    return b"\n".join(sorted(features(text)[1]))
+
+
+def fit(rows: list[bytes], labels: list[str]) -> Model:
+    """A model from packed features and their labels. The features of a row are parted anew in each pass, not held."""
     domains = sorted(set(labels))[:MAX_DOMAINS] or ["all"]
     d, n = len(domains), len(rows)
     if d == 1:
         return Model(domains, {}, np.zeros((0, 1)), np.zeros(1))
     y = np.zeros((n, d))
     y[np.arange(n), [domains.index(x) for x in labels]] = 1
-    seen = Counter(f for r in rows for f in r)
+    seen: Counter[bytes] = Counter()
+    for r in rows:
+        seen.update(r.split(b"\n"))
     often = sorted(f for f, c in seen.items() if c >= MIN_ROWS)
+    del seen
     at = {f: i for i, f in enumerate(often)}
-    row = np.array([i for i, r in enumerate(rows) for f in r if f in at], np.int64)
-    column = np.array([at[f] for r in rows for f in r if f in at], np.int64)
+    held = [np.fromiter((at[f] for f in r.split(b"\n") if f in at), np.int32) for r in rows]
+    row, column = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
+    del held
     counts = np.stack([np.bincount(column, y[row, k], len(at)) for k in range(d)], 1)
     share = (counts + 1) / (y.sum(0) + 2)
     overall = (counts.sum(1, keepdims=True) + 1) / (n + 2)
@@ -120,10 +130,10 @@ def learn(labelled: DataFrame, text: str = "text", domain: str = "domain", key:
     session(labelled)
     known = labelled.filter(F.col(domain).isNotNull() & F.col(text).isNotNull())
     sample = sampled(known, key, share_of(known.count(), rows), "mixing:")
-    made = row_function(lambda t: (sorted(features(t)[1]),), "f array<binary>")(as_bytes(text))
+    made = row_function(lambda t: (packed(t),), "f binary")(as_bytes(text))
     got = sample.select(F.col(key).alias("k"), F.col(domain).cast("string").alias("y"), made.alias("x"))
-    found = sorted((k, y, [bytes(f) for f in fs]) for k, y, fs in got.select("k", "y", "x.f").toLocalIterator())
-    return fit([set(f) for _, _, f in found], [y for _, y, _ in found])
+    found = sorted((k, y, bytes(f)) for k, y, f in got.select("k", "y", "x.f").toLocalIterator())
+    return fit([f for _, _, f in found], [y for _, y, _ in found])
 
 
 def with_posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
