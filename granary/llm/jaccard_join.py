@@ -15,11 +15,20 @@ segments of that weight.
 **Allocation by cost.** Layouts have weight H + 1 + E. From the number of sets
 in each band (counted over all rows) the layout of least cost is taken: the
 signatures that a set gives, and the chance meetings of unrelated sets. The
-spare weight E lets each set leave out weak signatures, those of empty
-segments and those that more than HOT sets share, as far as their segments
-weigh E or less; a set with more of them is indexed in full. Weakness depends
-on the signature alone, so the guarantee holds from the side of the set that
-leaves out more: nothing is capped or lost.
+spare weight E lets each set leave out its weak segments, which are empty or
+one deletion from it, if they weigh E or less; a set with more is indexed in
+full. Such a set may also leave out hot signatures, those that more than HOT
+sets share, as far as room() allows beside what its partner may leave out.
+
+**Why no pair is lost.** Segments that are not broken weigh E + 1 + x or more,
+x being the differences inside them. Hot signatures are hot for both sets, and
+a segment is weak for both or is one of two shingles in the other set and has
+a difference. Let a and b be the numbers of segments weak for A or B alone, c
+the weight of those weak for both, h that of hot ones: 2a + 2b + c + h may be
+left out, so a + b + c + h <= E suffices. If neither or both leave out hot
+ones, that is the mean of two weights of at most E. If only B does, it has at
+least a segments of two shingles, and 2a + c <= E: hence the two terms of
+room(). If A leaves out none, all that B leaves out weighs E or less.
 
 **Slices.** The signatures of every parts-th segment are made, counted and
 thinned out to the shared ones together, and then deleted, so the shared
@@ -70,7 +79,7 @@ MEETING = 4.0
 #: Bits of a sketch; members of a block.
 SKETCH, BLOCK = 2048, 512
 
-#: cell: band * 2^32 + segment; info: 4 * (weight that the set left out in the band) + the segment's weight.
+#: cell: band * 2^32 + segment; info: 4 * (weight of hot segments that the set may leave out) + the segment's weight.
 SIGNATURES = "id bigint, cell bigint, info int, h bigint"
 
 
@@ -126,6 +135,14 @@ def layout(band: int, sets: int, threshold: tuple[int, int]) -> tuple[int, int,
     return best[1:]
 
 
+def room(left: int, twos: int, spare: int) -> int:
+    """The weight of hot segments that a set may leave out besides its weak ones, which weigh left.
+
+    twos is the number of its one-deletion segments of two shingles: those may be weak for its partner alone.
+    """
+    return max(spare - left - twos, (spare - left) // 2, 0)
+
+
 def signatures(
     set_: np.ndarray, band: int, m: int, d: int, spare: int, part: int = 0, parts: int = 1
 ) -> Iterator[tuple[np.ndarray, ...]]:
@@ -139,8 +156,9 @@ def signatures(
     weights = np.where(np.arange(m) < d, 2, 1)
     weak = (sizes == 0) | ((sizes == 1) & (weights == 2))
     left = int(weights[weak].sum())
+    hot = room(left, int((sizes[:d] == 2).sum()), spare)
     if left > spare:
-        left, weak = 0, np.zeros(m, bool)
+        weak = np.zeros(m, bool)
     mine = np.arange(m) % parts == part
     set_, segment = (set_, segment) if parts == 1 else (set_[mine[segment]], segment[mine[segment]])
     value = mix(set_, 0)
@@ -149,7 +167,7 @@ def signatures(
     sums, filled = np.zeros(m, np.uint64), np.flatnonzero((sizes > 0) & mine)
     if len(filled):
         sums[filled] = np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes[filled])[:-1])))
-    cell, info = (band << 32) + np.arange(m), 4 * left + weights
+    cell, info = (band << 32) + np.arange(m), 4 * hot + weights
     salt = mix(cell.astype(np.uint64), 1)
     kept = np.flatnonzero(~weak & mine)
     yield cell[kept], info[kept], sums[kept] + salt[kept]
@@ -219,18 +237,14 @@ def _shared(found: DataFrame) -> DataFrame:
     return shared
 
 
-def _members(shared: DataFrame, sets_in_band: dict[int, int], threshold: tuple[int, int]) -> DataFrame:
+def _members(shared: DataFrame) -> DataFrame:
     """(id, cell, h) for each shared signature, without those that a set leaves out."""
     hot = shared.filter(F.col("c") > HOT)
-    spare = {b: layout(b, n, threshold)[2] for b, n in sets_in_band.items()}
-    if not spare:
-        return shared.select("id", "cell", "h")
-    allowed = F.create_map(*[F.lit(x) for kv in spare.items() for x in kv])[F.shiftright("cell", 32).cast("int")]
-    weighed = hot.groupBy("id", "cell").agg(F.max("info").alias("info"))
-    totals = weighed.groupBy("id", F.shiftright("cell", 32).alias("band"), allowed.alias("spare")).agg(
-        F.sum(F.col("info") % 4).alias("w"), F.max(F.shiftright("info", 2)).alias("left")
+    weighed = hot.groupBy("id", "cell").agg((F.max("info") % 4).alias("weight"), F.min(F.shiftright("info", 2)).alias("room"))
+    totals = weighed.groupBy("id", F.shiftright("cell", 32).alias("band")).agg(
+        F.sum("weight").alias("w"), F.min("room").alias("room")
     )
-    leave = totals.filter("w + left <= spare").select(F.col("id").alias("i"), "band")
+    leave = totals.filter("w <= room").select(F.col("id").alias("i"), "band")
     full = hot.join(leave, (F.col("id") == F.col("i")) & (F.shiftright("cell", 32) == F.col("band")), "left_anti")
     return stored(shared.filter(F.col("c") <= HOT).union(full).select("id", "cell", "h"))
 
@@ -436,7 +450,7 @@ def jaccard_components(
     copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep").select(F.col("id").alias("copy"))
     single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
     slices = [_shared(index(single, size, threshold, counts, key, text, part, parts)) for part in range(parts)]
-    members = _members(reduce(DataFrame.union, slices), counts, threshold)
+    members = _members(reduce(DataFrame.union, slices))
     texts = Texts(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")), size)
     texts.mark(members.select("id"))
     labels = _connected(members, texts, threshold)

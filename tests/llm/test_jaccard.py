@@ -55,6 +55,54 @@ def test_components_equal_brute_force(spark, monkeypatch, size, threshold, hot):
         assert sorted(map(tuple, got)) == brute(rows, size, *threshold)
 
 
+def test_weak_and_hot_segments_together(spark, monkeypatch):
+    """B is A and three more shingles. The segment that is weak for A alone and the hot one must not both go."""
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
+    threshold, band = (80, 100), jaccard_join.bands_of(15, (80, 100))[0]
+    m, d, spare = jaccard_join.layout(band, 1105, threshold)
+    assert (m, d, spare) == (3, 3, 2)
+    pools = [[] for _ in range(m)]
+    for k in range(3000):
+        h = jaccard_join.mix(jaccard_join._set_of(b"w%d" % k, 1) + np.uint64(band), 2)
+        pools[int((h[0] >> np.uint64(32)) * np.uint64(m) >> np.uint64(32))].append(f"w{k}")
+    take = lambda at, n: [pools[at].pop() for _ in range(n)]
+    common, texts = take(1, 6), []
+    for _ in range(5):
+        a = take(0, 1) + common + take(2, 5)
+        texts += [a, a + take(0, 1) + take(2, 2)]
+    texts += [take(0, 4) + common + take(2, 4) for _ in range(30)]
+    texts += [[f"f{15 * k + n}" for n in range(15)] for k in range(1100)]  # so many that the band takes that layout
+    rows = [(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)]
+    got = sorted(map(tuple, jaccard_join.jaccard_components(documents(spark, rows), 1, threshold).collect()))
+    assert got == brute(rows, 1, *threshold)
+    assert [c for _, _, c in got[:10]] == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+
+
+def test_room_keeps_a_shared_signature():
+    """Every split of the segments' sizes: what two sets may leave out together spares an unbroken segment."""
+    rng = random.Random(7)
+    for _ in range(20_000):
+        m, d, spare = (3, 3, 2) if rng.random() < 0.5 else (6, 4, rng.randrange(1, 7))
+        differ = m + d - 1 - spare
+        a = [rng.choice([0, 1, 1, 2, 2, 3, 5]) for _ in range(m)]
+        b, broken = list(a), set()
+        for _ in range(differ):
+            k = rng.randrange(m)
+            b[k] = max(0, b[k] + rng.choice([1, -1]))
+        costs = [abs(x - y) for x, y in zip(a, b, strict=True)]
+        broken = {k for k in range(m) if costs[k] > (k < d)}
+        kept, hot = set(range(m)) - broken, {k for k in range(m) if rng.random() < 0.3}
+        for sizes in (a, b):
+            weight = lambda ks: sum(2 if k < d else 1 for k in ks)
+            weak = {k for k in range(m) if sizes[k] == 0 or sizes[k] == 1 and k < d}
+            left = weight(weak)
+            if left <= spare:
+                kept -= weak
+                if weight(hot - weak) <= jaccard_join.room(left, sum(x == 2 for x in sizes[:d]), spare):
+                    kept -= hot
+        assert kept
+
+
 def test_every_layout_carries_its_weight():
     for threshold in ((90, 100), (80, 100), (60, 100)):
         for band in range(40):
