@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. The first pass classifies a
 block by the element that holds it, its link density, its length and its
 density of stop words: good, bad, near (looks like prose but is not sure) or
 short. The second pass gives near and short blocks the label of the nearest
-decided neighbours on both sides.
+decided neighbours on both sides. Boilerplate inside a marked article is no
+neighbour: what stands beyond it counts.
 
 Where a page marks its article (article, main or role main), that region is
 what counts: outside is bad, and inside, where unknown words or short
@@ -185,7 +186,7 @@ def inherit(found: list[Block]) -> list[bool]:
     edge = nearest
     for i in range(len(found) - 1, -1, -1):
         after[i] = nearest if not marked or i + 1 >= len(found) or found[i + 1].region == found[i].region else edge
-        if found[i].label in ("good", "bad"):
+        if found[i].label in ("good", "bad") and not (marked and found[i].boilerplate and found[i].region):
             nearest = found[i].label
         elif i + 1 < len(found) and found[i + 1].region != found[i].region:
             nearest = edge
@@ -194,7 +195,8 @@ def inherit(found: list[Block]) -> list[bool]:
         if marked and b.region != region:
             before, region = edge, b.region
         if b.label in ("good", "bad"):
-            before = b.label
+            if not (marked and b.boilerplate and b.region):
+                before = b.label
             kept.append(b.label == "good")
         else:
             around = {before, after[i]}

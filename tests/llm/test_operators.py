@@ -233,6 +233,12 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_boilerplate_inside_an_article_is_no_neighbour():
+    for part in ("<aside>An aside</aside>", '<div class="advert">Buy now</div>', '<div class="comments"><p>I say no.</p></div>'):
+        page = f"<article>{part}<p>Short.</p>{part}<p>Unsure words without stops {'xyzzy ' * 15}</p>{part}</article>"
+        assert html_text.main_text(page.encode())[3] == 2
+
+
 # op8
 
 
