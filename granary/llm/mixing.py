@@ -24,6 +24,7 @@ left out. Columns named like a result are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -164,7 +165,10 @@ def domain_totals(scored: DataFrame, domains: int, steps: list[list[float]]) ->
 
 
 def solve(scored: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The steps of the projected gradient; scored is read once a step, so it should be stored."""
+    """The steps of the projected gradient; scored is read once a step, so it should be stored.
+
+    A warning gives the remaining gap where it is above the tolerance after the last step.
+    """
     d = len(targets)
     p, t = [F.get("posterior", F.lit(k)) for k in range(d)], F.col("n_tokens")
     gram = scored.agg(*[F.sum(t * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
@@ -176,6 +180,10 @@ def solve(scored: DataFrame, targets: list[float]) -> list[list[float]]:
         if np.abs(gap).max() <= TOLERANCE * max(want.sum(), 1.0):
             break
         steps.append((inverse @ gap).tolist())
+    else:
+        gap = np.abs(domain_totals(scored, d, steps) - want).max()
+        if gap > TOLERANCE * max(want.sum(), 1.0):
+            warnings.warn(f"rates miss a target by {gap:.6g} of {want.sum():.6g} tokens after {MAX_STEPS} steps", stacklevel=2)
     return steps
 
 

@@ -114,6 +114,12 @@ def test_rates_meet_targets(spark):
     assert (p * (t * np.array(rates))[:, None]).sum(0) == pytest.approx(targets, rel=1e-2)
 
 
+def test_missed_targets_are_reported(spark):
+    scored = spark.createDataFrame([(1, 10, [0.5, 0.5])], "doc_id bigint, n_tokens bigint, posterior array<double>")
+    with pytest.warns(UserWarning, match="rates miss a target by 5 of 10 tokens"):
+        mixing.solve(scored, [10.0, 0.0])
+
+
 def test_mixture_odd_rows(spark):
     docs = documents(spark)
     labels = documents(spark, [(i, "good fine text" if i % 2 else "bad rude text", None, None, None) for i in range(60)])
