@@ -46,7 +46,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.md5(F.concat(F.lit("language:"), F.col(key).cast("string"))).alias("at"),
         F.col(text).alias("text"),
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES)}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES + 1)}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"there are more labelled languages than the {MAX_LANGUAGES} that can be learnt")
     spread = F.conv(F.substring("at", 1, 8), 16, 10).cast("bigint")
     wanted = F.lit(False)
     for name, n in counts.items():

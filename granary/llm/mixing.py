@@ -78,7 +78,9 @@ def packed(text: bytes) -> bytes:
 
 def fit(rows: list[bytes], labels: list[str]) -> Model:
     """A model from packed features and their labels. The features of a row are parted anew in each pass, not held."""
-    domains = sorted(set(labels))[:MAX_DOMAINS] or ["all"]
+    domains = sorted(set(labels)) or ["all"]
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError(f"{len(domains)} domains are more than the {MAX_DOMAINS} that a mixture can have")
     d, n = len(domains), len(rows)
     if d == 1:
         return Model(domains, {}, np.zeros((0, 1)), np.zeros(1))

@@ -260,6 +260,14 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language_id.identify(documents(spark), {}).collect()} == {"und"}
 
 
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    with pytest.raises(ValueError, match="70 domains are more than the 64"):
+        mixing.fit([b"a"] * 70, [f"d{k}" for k in range(70)])
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more labelled languages than the 1"):
+        language_id.learn(documents(spark))
+
+
 # op10
 
 
