@@ -8,27 +8,27 @@ H = (1 - t) / (1 + t) * (|A| + |B|) shingles.
 larger set, so a set is indexed in its own band and in those a partner may
 have. A band has a layout (m, d): a hash deals all shingles to m segments; the
 first d are indexed with their one-deletion neighbourhood (weight 2), the
-others exactly (weight 1). As a difference of more than H would be needed to
-break segments of weight H + 1, a pair shares a signature in every choice of
-segments of that weight.
-
-**Allocation by cost.** Layouts have weight H + 1 + E. From the number of sets
-in each band (counted over all rows) the layout of least cost is taken: the
-signatures that a set gives, and the chance meetings of unrelated sets. The
-spare weight E lets each set leave out its weak segments, which are empty or
-one deletion from it, if they weigh E or less; a set with more is indexed in
-full. Such a set may also leave out hot signatures, those that more than HOT
-sets share, as far as room() allows beside what its partner may leave out.
-
-**Why no pair is lost.** Segments that are not broken weigh E + 1 + x or more,
-x being the differences inside them. Hot signatures are hot for both sets, and
-a segment is weak for both or is one of two shingles in the other set and has
-a difference. Let a and b be the numbers of segments weak for A or B alone, c
-the weight of those weak for both, h that of hot ones: 2a + 2b + c + h may be
-left out, so a + b + c + h <= E suffices. If neither or both leave out hot
-ones, that is the mean of two weights of at most E. If only B does, it has at
-least a segments of two shingles, and 2a + c <= E: hence the two terms of
-room(). If A leaves out none, all that B leaves out weighs E or less.
+others exactly (weight 1). The layout weighs H + 1 + E for the band's largest
+H; as a segment breaks by as many differences as it weighs, the segments in
+which two linked sets share a signature weigh E + 1 or more. A set whose size
+allows only a smaller H leaves out as many of the last exact segments, in the
+order of all: of two linked sets the one that leaves out more counts, so E + 1
+still hold. From the number of sets in each band (counted over all rows) the
+layout of least cost is taken: the signatures that a set gives, chance
+meetings, and what heavy sets cost.
+
+**First pass.** Nobody indexes the empty content, and signatures of more than
+HOT sets are left out, for every set alike; so buckets are small. A set whose
+segments with an empty or hot signature weigh more than E is heavy in that
+band. If one of two linked sets is not heavy, a segment is left in which it
+leaves out nothing, and its partner leaves out only what both would: they meet.
+
+**Second pass.** Two heavy sets may have lost all they share, so the heavy ones
+are indexed among themselves, by H + 1 + E exact segments, the empty content
+included. Linked sets share E + 1 contents or more. All contents have one
+order, the most shared first, and each set leaves out its first E. The last
+shared content in that order has E shared ones before it, so neither leaves it
+out. What a group of alike texts costs here is H + 1 rows for each at most.
 
 **Slices.** The signatures of every parts-th segment are made, counted and
 thinned out to the shared ones together, and then deleted, so the shared
@@ -40,20 +40,23 @@ centre, then those of other components with the member that has most links,
 and at last, block by block, all that are still in different components.
 Parity sketches prove most unlinked pairs apart; the sets of the others are
 made and compared. Links inside a component add nothing to it, so groups of
-alike texts cost about their size, not its square. Every comparison is exact:
-a sketch only proves, and the rest are compared on their whole sets.
+alike texts cost about their size, not its square; texts that share most of
+their segments and yet are not linked cost a comparison of sketches for each
+two of them. Every comparison is exact: a sketch only proves, and the rest are
+compared on their whole sets.
 
 A null or empty text and one without words has an empty set and no links; its
 component is itself. Rows of one id are one document with several texts. A
-null id gets a null component. Extra columns are ignored. No rows give none.
-Shingles are 64-bit hashes; sets differ by a collision about once in 10^13
-pairs of texts. Hash tables and links stay on the executors.
+null id gets a null component; an id that is no integer is a TypeError. Extra
+columns are ignored. No rows give none. Shingles are 64-bit hashes; sets differ
+by a collision about once in 10^13 pairs of texts. Hash tables and links stay
+on the executors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 from itertools import groupby
 
@@ -62,6 +65,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm.common import (
     arrow_schema, as_bytes, deleted, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored, stored_at,
@@ -69,17 +73,18 @@ from granary.llm.common import (
 from granary.llm.components import components
 
 SIZE, THRESHOLD = 3, (90, 100)
-#: Sets that share a signature, above which it is weak.
+#: Sets that share a signature, above which it is left out.
 HOT = 64
 #: The growth of a band's largest size.
-GROWTH = 1.2
-#: What a chance meeting costs, in signatures.
-MEETING = 4.0
+GROWTH = 1.4
+#: What a chance meeting costs, in signatures, and how likely two sets have a shingle in common that stands alone.
+MEETING, COMMON = 4.0, 1e-6
 
 #: Bits of a sketch; members of a block.
 SKETCH, BLOCK = 2048, 512
 
-#: cell: band * 2^32 + segment; info: 4 * (weight of hot segments that the set may leave out) + the segment's weight.
+#: cell: band * 2^32 + segment; info: 4 * (weight of hot segments that the set may have) + the segment's weight.
+#: A row with a null h says that the set is heavy in the band.
 SIGNATURES = "id bigint, cell bigint, info int, h bigint"
 
 
@@ -103,6 +108,7 @@ def bands_of(n: int, threshold: tuple[int, int]) -> range:
     return range(int(np.searchsorted(tops, n)), int(np.searchsorted(tops, largest)) + 1)
 
 
+@cache
 def band_sizes(band: int, threshold: tuple[int, int]) -> tuple[int, int, int]:
     """The smallest set that is indexed in a band, the largest, and the most that two of them may differ."""
     tops = _tops(20)
@@ -117,136 +123,205 @@ def band_sizes(band: int, threshold: tuple[int, int]) -> tuple[int, int, int]:
 @cache
 def layout(band: int, sets: int, threshold: tuple[int, int]) -> tuple[int, int, int]:
     """(segments, one-deletion segments, spare weight) of least cost for a band of so many sets."""
-    low, _, differ = band_sizes(band, threshold)
+    low, top, differ = band_sizes(band, threshold)
     if not differ:  # only equal sets link, and they are one class
         return 0, 0, 0
     best = (math.inf, 0, 0, 0)
-    for spare in sorted({1} | {differ // part + 1 for part in (20, 8, 5, 4, 3)}):
+    for spare in sorted({0, 1} | {differ // part + 1 for part in (20, 8, 5, 4, 3, 2, 1)}):
         weight = differ + 1 + spare
         for m in sorted({weight, -(-weight * 7 // 8), -(-weight * 3 // 4), -(-weight * 5 // 8), -(-weight // 2)}):
-            d = weight - m
-            g = low / m
-            empty, one = math.exp(-g), math.exp(-g) * (1 + g)
-            mean = (m - d) * empty + 2 * d * one
-            over = 1.0 if mean >= spare else math.exp(-((spare - mean) ** 2) / (2 * mean + spare))
-            meets = sets * over * ((m - d) * empty**2 + d * one**2)
-            alone = sets * 1e-6 * ((m - d) * g * empty + d * g * one)
-            best = min(best, (m + d * g + MEETING * (meets + alone), m, d, spare))
+            at = (low, (2 * low + top) // 3, (low + 2 * top) // 3, top)
+            cost = sum(_cost(n, m, weight - m, spare, differ_of(n, band, threshold), differ, sets) for n in at)
+            best = min(best, (cost, m, weight - m, spare))
     return best[1:]
 
 
-def room(left: int, twos: int, spare: int) -> int:
-    """The weight of hot segments that a set may leave out besides its weak ones, which weigh left.
+def differ_of(n: int, band: int, threshold: tuple[int, int]) -> int:
+    """The most that a set of n shingles and one that it links to in a band may differ."""
+    num, den = threshold
+    return (den - num) * (n + min(band_sizes(band, threshold)[1], n * den // num)) // (den + num)
+
 
-    twos is the number of its one-deletion segments of two shingles: those may be weak for its partner alone.
-    """
-    return max(spare - left - twos, (spare - left) // 2, 0)
+def _cost(n: int, m: int, d: int, spare: int, mine: int, differ: int, sets: int) -> float:
+    """What a set of n shingles, of which at most mine differ, costs in a layout, counted in signatures."""
+    g, exact = n / m, max(0, m - d - (differ - mine))
+    empty, one = math.exp(-g), math.exp(-g) * (1 + g)
+    weak = exact * empty + 2 * d * one
+    heavy = 1.0 if weak >= spare + 1 else math.exp(-((spare + 1 - weak) ** 2) / (2 * weak + spare + 1))
+    alone = min(sets * COMMON, HOT) * (exact * g * empty + d * g * one)
+    again = n + 3 * (differ + 1) + MEETING * sets * heavy * COMMON * differ
+    return exact + d + d * g + MEETING * alone + heavy * again
+
+
+def second_layout(band: int, threshold: tuple[int, int]) -> tuple[int, int]:
+    """(segments, spare) of the second pass, of exact segments only."""
+    differ = band_sizes(band, threshold)[2]
+    spare = differ // 4 + 1
+    return differ + 1 + spare, spare
+
+
+def _last(n: int, band: int, threshold: tuple[int, int]) -> int:
+    """How many of the last exact segments of a band a set of n shingles does without."""
+    return band_sizes(band, threshold)[2] - differ_of(n, band, threshold)
+
+
+def _segments(set_: np.ndarray, band: int, m: int, seed: int = 2) -> np.ndarray:
+    scrambled = mix(set_ + np.uint64(band), seed)
+    return (((scrambled >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+
+
+def _contents(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the values of each segment, which are sorted by segment; 0 for an empty one."""
+    sums, filled = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(filled):
+        sums[filled] = np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes[filled])[:-1])))
+    return sums
 
 
 def signatures(
-    set_: np.ndarray, band: int, m: int, d: int, spare: int, part: int = 0, parts: int = 1
+    set_: np.ndarray, band: int, m: int, d: int, spare: int, last: int = 0, part: int = 0, parts: int = 1
 ) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, info, content hash) arrays for a set in a band; empty segments are left out as far as spare allows.
+    """(cell, info, content hash) arrays for a set in a band, and info -1 where the set is heavy for its empty contents.
 
-    Of the segments, those of one slice are given: segment % parts == part.
+    Of the segments, the last exact ones are left out, and those of one slice are given: segment % parts == part.
     """
-    scrambled = mix(set_ + np.uint64(band), 2)
-    segment = (((scrambled >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    segment = _segments(set_, band, m)
     sizes = np.bincount(segment, minlength=m)
     weights = np.where(np.arange(m) < d, 2, 1)
-    weak = (sizes == 0) | ((sizes == 1) & (weights == 2))
-    left = int(weights[weak].sum())
-    hot = room(left, int((sizes[:d] == 2).sum()), spare)
-    if left > spare:
-        weak = np.zeros(m, bool)
-    mine = np.arange(m) % parts == part
-    set_, segment = (set_, segment) if parts == 1 else (set_[mine[segment]], segment[mine[segment]])
+    end = max(d, m - last)
+    left = int((sizes[d:end] == 0).sum()) + 2 * int((sizes[:d] < 2).sum())
+    if left > spare and not part:
+        yield np.array([band << 32]), np.array([-1]), np.zeros(1, np.uint64)
+    if parts > 1 or end < m:
+        mine = (np.arange(m) % parts == part) & (np.arange(m) < end)
+        set_, segment, sizes = set_[mine[segment]], segment[mine[segment]], sizes * mine
     value = mix(set_, 0)
     order = np.argsort(segment, kind="stable")
     segment, value = segment[order], value[order]
-    sums, filled = np.zeros(m, np.uint64), np.flatnonzero((sizes > 0) & mine)
-    if len(filled):
-        sums[filled] = np.add.reduceat(value, np.concatenate(([0], np.cumsum(sizes[filled])[:-1])))
-    cell, info = (band << 32) + np.arange(m), 4 * hot + weights
+    sums = _contents(value, sizes)
+    cell, info = (band << 32) + np.arange(m), 4 * max(spare - left, 0) + weights
     salt = mix(cell.astype(np.uint64), 1)
-    kept = np.flatnonzero(~weak & mine)
+    kept = np.flatnonzero(sizes)
     yield cell[kept], info[kept], sums[kept] + salt[kept]
     if d:
-        one = (segment < d) & ~weak[segment]
+        one = (segment < d) & (sizes[segment] > 1)
         at = segment[one]
         yield cell[at], info[at], sums[at] - value[one] + salt[at]
 
 
+def second_signatures(set_: np.ndarray, band: int, m: int, spare: int, last: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, spare, content hash) arrays for a heavy set in a band: all segments but the last, exactly."""
+    segment = _segments(set_, band, m, 3)
+    value = mix(set_, 0)[np.argsort(segment, kind="stable")]
+    sums = _contents(value, np.bincount(segment, minlength=m))
+    cell = (band << 32) + (1 << 31) + np.arange(m)
+    h = sums + mix(cell.astype(np.uint64), 1)
+    yield cell[: m - last], np.full(m - last, spare), h[: m - last]
+
+
 def _set_of(text: bytes, size: int) -> np.ndarray:
     return shingles(lower_ascii(text).split(), size)
 
 
-def shingle_sets(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, digest) for each row; the digest of an empty set is null."""
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, at, n, digest) for each row of docs (id, t, at); the digest of an empty set is null."""
 
     def one(data: bytes) -> tuple:
         s = _set_of(data, size)
         return len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None
 
-    made = row_function(one, "n bigint, digest binary")(as_bytes(text))
-    return docs.select(F.col(key).cast("bigint").alias("id"), made.alias("s")).select("id", "s.n", "s.digest")
+    made = row_function(one, "n bigint, digest binary")(as_bytes("t"))
+    return docs.select("id", "at", made.alias("s")).select("id", "at", "s.n", "s.digest")
 
 
 def index(
-    docs: DataFrame, size: int, threshold: tuple[int, int], sets_in_band: dict[int, int], key: str, text: str,
-    part: int = 0, parts: int = 1,
-) -> DataFrame:
-    """The signatures of each row, in the segments of a slice; h tells the cell too, but for chance."""
+    docs: DataFrame, size: int, threshold: tuple[int, int], sets_in_band: dict[int, int], part: int = 0, parts: int = 1
+) -> DataFrame:
+    """SIGNATURES of each row of docs (id, t), in the segments of a slice; h tells the cell too, but for chance."""
+
+    def made(s: np.ndarray, _) -> Iterator[tuple[np.ndarray, ...]]:
+        for band in bands_of(len(s), threshold):
+            plan = layout(band, sets_in_band.get(band, 1), threshold)
+            if plan[0]:
+                yield from signatures(s, band, *plan, _last(len(s), band, threshold), part, parts)
+
+    return _indexed(docs.select("id", as_bytes("t"), F.lit(0)), size, made)
+
+
+def second_index(heavy: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """SIGNATURES of each row of heavy (id, t, bands), in its bands; info is the number that a set leaves out."""
+
+    def made(s: np.ndarray, bands: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        for band in {*bands} & {*bands_of(len(s), threshold)}:
+            yield from second_signatures(s, band, *second_layout(band, threshold), _last(len(s), band, threshold))
+
+    return _indexed(heavy.select("id", as_bytes("t"), "bands"), size, made)
+
+
+def _indexed(rows: DataFrame, size: int, made_of: Callable) -> DataFrame:
     schema = arrow_schema(SIGNATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[tuple] = []
             held = 0
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, data, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = _set_of(data, size)
                 if doc is None or not len(s):
                     continue
-                for band in bands_of(len(s), threshold):
-                    plan = layout(band, sets_in_band.get(band, 1), threshold)
-                    for cell, info, h in signatures(s, band, *plan, part, parts) if plan[0] else ():
-                        made.append((np.full(len(h), doc), cell, info, h))
-                        held += len(h)
+                for cell, info, h in made_of(s, more):
+                    made.append((np.full(len(h), doc), cell, info, h))
+                    held += len(h)
                 if held > 100_000:
                     yield _batch(made, schema)
                     made, held = [], 0
             yield _batch(made, schema)
 
-    return docs.select(F.col(key).cast("bigint"), as_bytes(text)).mapInArrow(run, fields(SIGNATURES))
+    return rows.mapInArrow(run, fields(SIGNATURES))
 
 
 def _batch(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     kinds = (np.int64, np.int64, np.int32, np.uint64)
     columns = zip(*parts, strict=True) if parts else ([np.empty(0, k)] for k in kinds)
-    arrays = [np.concatenate(c).astype(k) for c, k in zip(columns, kinds, strict=True)]
-    arrays[3] = arrays[3].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+    doc, cell, info, h = (np.concatenate(c).astype(k) for c, k in zip(columns, kinds, strict=True))
+    arrays = [pa.array(doc), pa.array(cell), pa.array(info), pa.array(h.view(np.int64), mask=info < 0)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """The signatures that two sets or more have, with their number. They are written once and deleted."""
+def _shared(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures that two sets or more have, with their number c, and the (id, band) marked as heavy.
+
+    The signatures are written once and deleted.
+    """
     written, path = stored_at(found)
-    many = written.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumnRenamed("h", "h_m")
+    many = written.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    many = many.withColumnRenamed("h", "h_m")
     shared = stored(written.join(many, F.col("h") == F.col("h_m")).select("id", "cell", "info", "h", "c"))
+    marked = stored(written.filter("h is null").select("id", F.shiftright("cell", 32).alias("band")))
     deleted(found.sparkSession, path)
-    return shared
+    return shared, marked
 
 
-def _members(shared: DataFrame) -> DataFrame:
-    """(id, cell, h) for each shared signature, without those that a set leaves out."""
-    hot = shared.filter(F.col("c") > HOT)
-    weighed = hot.groupBy("id", "cell").agg((F.max("info") % 4).alias("weight"), F.min(F.shiftright("info", 2)).alias("room"))
+def _heavy(shared: DataFrame) -> DataFrame:
+    """(id, band) of the sets whose hot segments weigh more than what they may leave out."""
+    weighed = shared.filter(F.col("c") > HOT).groupBy("id", "cell").agg(
+        (F.max("info") % 4).alias("weight"), F.min(F.shiftright("info", 2)).alias("room")
+    )
     totals = weighed.groupBy("id", F.shiftright("cell", 32).alias("band")).agg(
         F.sum("weight").alias("w"), F.min("room").alias("room")
     )
-    leave = totals.filter("w <= room").select(F.col("id").alias("i"), "band")
-    full = hot.join(leave, (F.col("id") == F.col("i")) & (F.shiftright("cell", 32) == F.col("band")), "left_anti")
-    return stored(shared.filter(F.col("c") <= HOT).union(full).select("id", "cell", "h"))
+    return totals.filter("w > room").select("id", "band")
+
+
+def _members(texts: DataFrame, size: int, threshold: tuple[int, int], counts: dict[int, int], parts: int) -> DataFrame:
+    """(id, cell, h): the buckets of both passes."""
+    slices = [_shared(index(texts, size, threshold, counts, part, parts)) for part in range(parts)]
+    shared = reduce(DataFrame.union, [s for s, _ in slices])
+    heavy = _heavy(shared).union(slices[0][1]).groupBy(F.col("id").alias("i")).agg(F.collect_set("band").alias("bands"))
+    again, _ = _shared(second_index(texts.join(heavy, F.col("id") == F.col("i")), size, threshold))
+    order = Window.partitionBy("id", F.shiftright("cell", 32)).orderBy(F.desc("c"), "h", "cell")
+    left = again.withColumn("at", F.row_number().over(order)).filter("at > info")
+    return stored(shared.filter(F.col("c") <= HOT).select("id", "cell", "h").union(left.select("id", "cell", "h")))
 
 
 def _pairs(a: str, b: str) -> list:
@@ -426,38 +501,50 @@ def _connected(members: DataFrame, texts: Texts, threshold: tuple[int, int]) ->
     return components(tried.union(third).filter("linked"))
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text",
-    parts: int = 1,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; the first column has the key's name.
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, t, at): at tells the texts of one id apart."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a column of integers, not {docs.schema[key].dataType.simpleString()}")
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"), F.xxhash64(f"`{text}`").alias("at"))
 
-    threshold is a fraction (numerator, denominator); parts is the number of slices. Rows are read once and
-    then once a slice, and the texts that share a signature with another once more.
-    """
+
+def _labelled(docs: DataFrame, size: int, threshold: tuple[int, int], key: str, text: str, parts: int) -> DataFrame:
+    """(id, at, n, label) for each row of docs."""
     session(docs)
-    rows = stored(shingle_sets(docs, size, key, text))
+    texts = _texts(docs, key, text)
+    rows = stored(shingle_sets(texts, size))
     classes = rows.filter("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n")
     )
     repeated = stored(classes.filter("c > 1").select(F.col("digest").alias("same"), "rep"))
     # A number for each band, of which there are some dozens.
     sizes = classes.groupBy("n").count()
-    counts: dict[int, int] = {}
-    for n, c in sizes.select(_band(F.col("n")).alias("b"), "count").groupBy("b").agg(F.sum("count")).collect():
-        counts[n] = int(c)
+    counts = {b: int(c) for b, c in sizes.select(_band(F.col("n")).alias("b"), "count").groupBy("b").agg(F.sum("count")).collect()}
     # Copies are indexed under their representative: of equal sets, only one row's signatures stay.
-    copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep").select(F.col("id").alias("copy"))
-    single = docs.join(copies, F.col(key) == F.col("copy"), "left_anti")
-    slices = [_shared(index(single, size, threshold, counts, key, text, part, parts)) for part in range(parts)]
-    members = _members(reduce(DataFrame.union, slices))
-    texts = Texts(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")), size)
-    texts.mark(members.select("id"))
-    labels = _connected(members, texts, threshold)
+    copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep")
+    copies = copies.select(F.col("id").alias("copy"), F.col("at").alias("copy_at")).distinct()
+    single = texts.join(copies, (F.col("id") == F.col("copy")) & (F.col("at") == F.col("copy_at")), "left_anti")
+    members = _members(single, size, threshold, counts, parts)
+    compared = Texts(texts, size)
+    compared.mark(members.select("id"))
+    labels = _connected(members, compared, threshold)
     joined = rows.join(repeated, F.col("digest") == F.col("same"), "left").withColumn("node", F.coalesce("rep", "id"))
     named = labels.select(F.col("id").alias("linked"), "label")
     out = joined.join(named, F.col("node") == F.col("linked"), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+    return out.select("id", "at", "n", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text",
+    parts: int = 1,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; the first column has the key's name.
+
+    threshold is a fraction (numerator, denominator); parts is the number of slices. Rows are read once and
+    then once a slice, and the texts that share a signature with another once more.
+    """
+    out = _labelled(docs, size, threshold, key, text, parts)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
 def _band(n):
@@ -472,15 +559,22 @@ def _band(n):
 def representatives(
     docs: DataFrame, size: int, threshold: tuple[int, int], key: str = "doc_id", text: str = "text", parts: int = 1
 ) -> DataFrame:
-    """docs with one row for each component: that of the least id. Rows with a null id all stay."""
-    found = jaccard_components(docs, size, threshold, key, text, parts)
-    drop = stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_drop")).distinct())
-    kept = docs.join(drop, F.col(key) == F.col("_drop"), "left_anti")
-    again = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1")
-    again = stored(again.select(F.col(key).alias("_again")))
+    """docs with one row for each component: that of the least id. Rows with a null id all stay.
+
+    Of the rows of that id, one stays for each different text. A column of docs may have any name but the four of the joins here,
+    _drop, _drop_at, _again and _again_at.
+    """
+    found = _labelled(docs, size, threshold, key, text, parts)
+    at = F.xxhash64(f"`{text}`")
+    drop = stored(found.filter("id <> label").select(F.col("id").alias("_drop"), F.col("at").alias("_drop_at")).distinct())
+    kept = docs.join(drop, (F.col(f"`{key}`") == F.col("_drop")) & (at == F.col("_drop_at")), "left_anti")
+    again = found.filter("id = label").groupBy("id", "at").count().filter("count > 1")
+    again = stored(again.select(F.col("id").alias("_again"), F.col("at").alias("_again_at")))
     if again.limit(1).count() == 0:
         return kept
-    single = kept.join(again, F.col(key) == F.col("_again"), "left_anti")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*kept.columns))
-    first = kept.join(again, F.col(key) == F.col("_again"), "left_semi").withColumn("_n", F.row_number().over(order))
-    return single.union(first.filter("_n = 1").drop("_n"))
+    repeated = (F.col(f"`{key}`") == F.col("_again")) & (at == F.col("_again_at"))
+    whole = F.struct(*[f"`{c}`" for c in docs.columns])
+    first = kept.join(again, repeated, "left_semi").groupBy(F.col(f"`{key}`").alias("_k"), at.alias("_t")).agg(
+        F.min_by(whole, F.xxhash64(whole)).alias("_row")
+    )
+    return kept.join(again, repeated, "left_anti").union(first.select("_row.*"))
