@@ -14,7 +14,7 @@ from granary.llm.queries import ANCHOR, DOMAIN_WEIGHTS, quality_domain, table
 #: Near duplicates: runs of five words, Jaccard similarity of at least 80 / 100.
 NEAR_SIZE, NEAR_THRESHOLD = 5, (80, 100)
 #: Slices of the signatures, of which one at a time is on disk.
-NEAR_PARTS = 3
+NEAR_PARTS = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
