@@ -14,7 +14,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 from granary.llm import (
-    chat_windows, decontamination, fertility, html_text, language_id, mixing, queries, sharding, token_counts, toxicity,
+    chat_windows, decontamination, fertility, language_id, mixing, queries, sharding, token_counts, toxicity,
 )
 from granary.llm.components import components
 
@@ -222,29 +222,6 @@ def test_chat_windows_round_trip(spark):
     assert chat_windows.format_windows(turns.limit(0)).count() == 0
 
 
-# op7
-
-
-def test_html(spark):
-    page = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><a href=/>Home</a></nav>
-    <header>Site</header><article><header><h1>Head &amp; line</h1></header><p>One<b>word</b> and
-    more.<br>Next<p>Short.<aside>An aside</aside><div class="comments"><p>A reader says that it is good.</p></div>
-    <form><p>Your mail</p></form></article><div id="cookie-notice">We use cookies.</div><footer>&copy; us</footer>"""
-    assert html_text.main_text(page.encode())[0] == "Head & line\n\nOneword and more. Next\n\nShort."
-    long = "It was the best of the days and he was with her in the house that they had by the sea. " * 3
-    plain = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p>{long}<p>Well.<p>{long}</p><p>Buy now"
-    assert html_text.main_text(plain.encode())[0] == f"{long.strip()}\n\nWell.\n\n{long.strip()}"
-    pages = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "<p", "z"), (4, "<" * 5000 + "\"'<!--", "z")], "page_id int, html string, text string")
-    assert [r.n_chars >= 0 for r in html_text.extract(pages).collect()] == [True] * 4
-    assert html_text.extract(pages.limit(0)).count() == 0
-
-
-def test_boilerplate_inside_an_article_is_no_neighbour():
-    for part in ("<aside>An aside</aside>", '<div class="advert">Buy now</div>', '<div class="comments"><p>I say no.</p></div>'):
-        page = f"<article>{part}<p>Short.</p>{part}<p>Unsure words without stops {'xyzzy ' * 15}</p>{part}</article>"
-        assert html_text.main_text(page.encode())[3] == 2
-
-
 # op8
 
 
