@@ -92,6 +92,56 @@ def test_decontamination_edges(spark, group_bytes):
         assert r.items_sha256 == hashlib.sha256(found.encode()).hexdigest() and r.contaminated == (n_items > 1)
     empty = decontamination.decontaminate(docs, bench.limit(0)).collect()
     assert all(r.n_items == 0 and not r.contaminated for r in empty)
+    assert decontamination.decontaminate(docs.limit(0), bench, group_bytes=group_bytes).count() == 0
+    twice = decontamination.decontaminate(docs.union(docs), bench, group_bytes=group_bytes).collect()
+    assert len(twice) == 2 * len(texts) and len({(r.doc_id, r.items_sha256, r.n_hit) for r in twice}) == len(texts)
+
+
+def test_decontamination_equals_brute_force_in_ten_groups(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(40)}"
+    items = [(f"i{k}", " ".join(word() for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 30])))) for k in range(60)]
+    texts = []
+    for _ in range(80):
+        w = [word() for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w) + 1) : 0] = rng.choice(items)[1].split()
+        texts.append(" ".join(w))
+    texts.append(" ".join(word() for _ in range(40_000)) + " " + items[-1][1])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    total = sum(len(t) for _, t in items)
+    assert len(list(decontamination.item_groups(bench, "item_id", "text", total // 12))) >= 10
+    docs = documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    for group_bytes in (10**6, total // 12):
+        got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, group_bytes=group_bytes).collect()}
+        for k, t in enumerate(texts):
+            w = t.split()
+            at = {}
+            for i, x in items:
+                v = x.split()
+                n = min(8, len(v))
+                for p in {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}:
+                    at.setdefault((n, p), []).append(i)
+            hit, found = set(), set()
+            for n in {n for n, _ in at}:
+                for j in range(len(w) - n + 1):
+                    if (n, tuple(w[j : j + n])) in at:
+                        hit |= set(range(j, j + n))
+                        found |= set(at[n, tuple(w[j : j + n])])
+            assert (got[k].n_words, got[k].n_hit, got[k].item_ids) == (len(w), len(hit), sorted(found))
+
+
+def test_decontamination_tables_are_small():
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(str(k), " ".join(f"{rng.randrange(10**6):x}" for _ in range(1000)).encode()) for k in range(100)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    group = decontamination.Group(items)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(group.ids) == 100 and held < 20 * size + 2**24  # and the cache of word hashes
 
 
 # op3
