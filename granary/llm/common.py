@@ -30,11 +30,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a local one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets a local folder, and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/granary-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/granary/{uuid.uuid4().hex}"
 
 
@@ -170,17 +171,22 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(out + np.uint64(n))
 
 
-def share_of(total: int, wanted: int) -> float:
-    """The fraction to sample so that about wanted of total rows remain."""
-    return min(1.0, wanted / max(total, 1))
+#: Tasks that a sample is dealt to.
+SAMPLE_TASKS = 8
 
 
-def sampled(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
-    """A fixed sample: the rows whose seeded hash of the key falls in the fraction."""
-    if fraction >= 1:
-        return df
-    at = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return df.filter(at < int(fraction * 2**32))
+def sampled(df: DataFrame, total: int, wanted: int, seed: str, *names: str) -> DataFrame:
+    """About wanted of the total rows, twice as many at most, in SAMPLE_TASKS partitions.
+
+    A row is chosen by a seeded hash of the named columns, nulls included. Equal rows are chosen together,
+    so the number is limited too.
+    """
+    rows = df
+    if wanted < total:
+        text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in names]
+        at = F.conv(F.substring(F.md5(F.concat_ws("\1", F.lit(seed), *text)), 1, 8), 16, 10).cast("bigint")
+        rows = df.filter(at < int(wanted / total * 2**32))
+    return rows.limit(2 * wanted).repartition(SAMPLE_TASKS)
 
 
 def lower_ascii(text: bytes) -> bytes:

@@ -6,9 +6,11 @@ is predicted, and the prediction is rejected where the second best is hardly
 larger. What is compressed are the letters of the whole text, in lower case,
 with one blank for anything else.
 
-The dictionaries are all that is learnt: at most DICTIONARY_BYTES a language,
-from about SAMPLE_ROWS rows of it in a fixed pseudo-random order. Ties go to
-the language with more labelled rows. Null texts and texts without a letter are
+The dictionaries are all that is learnt, one for every labelled language: whole
+texts of it as far as DICTIONARY_BYTES go, or an equal share of ALL_BYTES where
+there are many languages, from about SAMPLE_ROWS rows of it in a fixed
+pseudo-random order; only of a text that is longer alone, its beginning. Ties go
+to the language with more labelled rows. Null texts and texts without a letter are
 `und` with score 0; so is everything if no language was learnt. Repeated rows
 get equal results; a column with the name of a result is replaced.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import added, as_bytes, row_function, session, stored
 
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
-DICTIONARY_BYTES, SAMPLE_ROWS, MAX_LANGUAGES = 131_072, 300, 400
+DICTIONARY_BYTES, ALL_BYTES, SAMPLE_ROWS = 131_072, 67_108_864, 300
 LEVEL, MIN_MARGIN = 3, 0.01
 #: How fast the score follows a difference of one byte.
 SHARPNESS = 0.35
@@ -40,28 +42,33 @@ def letters(text: bytes) -> bytes:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each language, of whole sampled texts up to DICTIONARY_BYTES, in the order of their rows."""
+    """A dictionary for each language, of sampled texts in the order of a seeded hash of their keys."""
+    session(labelled)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"),
-        F.md5(F.concat(F.lit("language:"), F.col(key).cast("string"))).alias("at"),
+        F.md5(F.concat(F.lit("language:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("at"),
         F.col(text).alias("text"),
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES + 1)}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"there are more labelled languages than the {MAX_LANGUAGES} that can be learnt")
+    counts = rows.groupBy("lang").count()
+    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").select("lang").toLocalIterator()]
+    room = min(DICTIONARY_BYTES, ALL_BYTES // max(len(names), 1))
     spread = F.conv(F.substring("at", 1, 8), 16, 10).cast("bigint")
-    wanted = F.lit(False)
-    for name, n in counts.items():
-        wanted |= (F.col("lang") == name) & (spread < math.ceil(min(1.0, SAMPLE_ROWS / n) * 2**32))
-    sample = stored(rows.filter(wanted)).orderBy("lang", "at")
+    wanted = spread < F.ceil(F.least(F.lit(1.0), SAMPLE_ROWS / F.col("count")) * 2**32)
+    chosen = rows.join(counts.withColumnRenamed("lang", "name"), F.col("lang") == F.col("name")).filter(wanted)
+    cut = row_function(lambda t: (_beginning(letters(t), room),), "d binary")(as_bytes("text"))["d"]
+    sample = stored(chosen.select("lang", "at", cut.alias("d"))).orderBy("lang", "at", "d")
     out: dict[str, list[bytes]] = {}
-    sizes: dict[str, int] = {}
-    for name, _, body in sample.toLocalIterator():
-        data = letters(body.encode())
-        if data and sizes.get(name, 0) < DICTIONARY_BYTES:
-            out.setdefault(name, []).append(data)
-            sizes[name] = sizes.get(name, 0) + len(data) + 1
-    return {name: b"\n".join(out[name])[:DICTIONARY_BYTES] for name in counts if name in out}
+    left = dict.fromkeys(names, room)
+    for name, _, data in sample.toLocalIterator():
+        if data and len(data) <= left[name]:
+            out.setdefault(name, []).append(bytes(data))
+            left[name] -= len(data) + 1
+    return {name: b"\n".join(out[name]) for name in names if name in out}
+
+
+def _beginning(data: bytes, room: int) -> bytes:
+    """data, or its first words as far as room goes."""
+    return data if len(data) <= room else data[:room].rpartition(b" ")[0]
 
 
 def compressors(dictionaries: dict[str, bytes], level: int = LEVEL) -> dict[str, Any]:

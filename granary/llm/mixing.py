@@ -12,33 +12,46 @@ so a step of length one never overshoots. A step subtracts from every rate
 the product of the posterior with one short vector, the same for all
 documents, and cuts at zero. Thus the driver holds only vectors with a number
 per domain; a pass computes every document's rate from the steps so far and
-returns the sums by domain. Domains are a bounded set of labels.
+returns the sums by domain. It ends when the totals match or when STALL steps
+have brought the gap down by less than PROGRESS of it; the totals reached are
+returned, and a warning gives the gap where it is above TOLERANCE.
+
+The classifier is fitted on about SAMPLE_ROWS labelled rows, twice as many at
+most. Its features are counted and chosen on the executors; the driver gets
+the MAX_FEATURES most telling ones, ties by name, and which of them each row
+has. There is no bound on domains, but the model has a weight for each feature
+and domain.
 
 A document is emitted floor(rate + u) times, u uniform in [0, 1) and fixed by
-its key. Tokens are words that ASCII blanks part, of whole texts. Null and
-empty texts have no tokens and get the rate of their posterior like others.
-Rows of one key and text get equal rates and copies. Without labelled rows
-there is one domain, `all`, and its target is what is there. Null labels are
-left out. Columns named like a result are replaced.
+its key. Tokens are those of a column, if one is named, or else the words that
+ASCII blanks part, of whole texts. Null and empty texts have no words and get
+the rate of their posterior like others. Rows of one key and text get equal
+rates and copies. Without labelled rows there is one domain, `all`, and its
+target is what is there. Null labels and null training texts are left out; keys
+may be null or repeated. No documents give none. Columns named like a result
+are replaced.
 """
 
 from __future__ import annotations
 
 import warnings
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import added, as_bytes, row_function, sampled, session, share_of, stored
+from granary.llm.common import added, arrow_schema, as_bytes, fields, mapped, row_function, sampled, session, stored
 
-SAMPLE_ROWS, MAX_FEATURES, MAX_DOMAINS = 4_000, 40_000, 64
+SAMPLE_ROWS, MAX_FEATURES = 4_000, 40_000
 MIN_ROWS, MIN_RATIO, PREFIX = 8, 1.0, 7
 RATE, ROUNDS, PENALTY = 0.1, 150, 1e-4
-TOLERANCE, MAX_STEPS = 1e-4, 24
+TOLERANCE, STALL, PROGRESS = 1e-4, 8, 0.02
 POSTERIOR = "n_tokens bigint, posterior array<double>"
+RESULT = ("n_tokens", "posterior", "rate", "copies")
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -71,39 +84,12 @@ def features(text: bytes) -> tuple[int, set[bytes]]:
     return len(words), out
 
 
-def packed(text: bytes) -> bytes:
-    """The features of a text, sorted, one a line; no feature holds a line break."""
-    return b"\n".join(sorted(features(text)[1]))
-
-
-def fit(rows: list[bytes], labels: list[str]) -> Model:
-    """A model from packed features and their labels. The features of a row are parted anew in each pass, not held."""
-    domains = sorted(set(labels)) or ["all"]
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"{len(domains)} domains are more than the {MAX_DOMAINS} that a mixture can have")
-    d, n = len(domains), len(rows)
-    if d == 1:
-        return Model(domains, {}, np.zeros((0, 1)), np.zeros(1))
+def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: list[bytes], domains: list[str]) -> Model:
+    """A model from the numbers of the chosen features that each row has, and the numbers of the rows' domains."""
+    n, d = len(rows), len(domains)
     y = np.zeros((n, d))
-    y[np.arange(n), [domains.index(x) for x in labels]] = 1
-    seen: Counter[bytes] = Counter()
-    for r in rows:
-        seen.update(r.split(b"\n"))
-    often = sorted(f for f, c in seen.items() if c >= MIN_ROWS)
-    del seen
-    at = {f: i for i, f in enumerate(often)}
-    held = [np.fromiter((at[f] for f in r.split(b"\n") if f in at), np.int32) for r in rows]
-    row, column = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
-    del held
-    counts = np.stack([np.bincount(column, y[row, k], len(at)) for k in range(d)], 1)
-    share = (counts + 1) / (y.sum(0) + 2)
-    overall = (counts.sum(1, keepdims=True) + 1) / (n + 2)
-    telling = np.abs(np.log(share / overall)).max(1)
-    chosen = np.flatnonzero(telling >= min(MIN_RATIO, np.sort(telling)[-MAX_FEATURES:].min(initial=MIN_RATIO)))
-    place = np.full(len(at), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[column] >= 0
-    row, column = row[use], place[column[use]]
+    y[np.arange(n), labels] = 1
+    row, column = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
     w, b = np.zeros((len(chosen), d)), np.log(y.mean(0))
     squares, base = np.full_like(w, 1e-8), np.full(d, 1e-8)
     for _ in range(ROUNDS):
@@ -114,7 +100,7 @@ def fit(rows: list[bytes], labels: list[str]) -> Model:
         base += error.mean(0) ** 2
         w -= RATE * grad / np.sqrt(squares)
         b = b - RATE * error.mean(0) / np.sqrt(base)
-    return Model(domains, {often[c]: i for i, c in enumerate(chosen)}, w, b)
+    return Model(domains, {f: i for i, f in enumerate(chosen)}, w, b)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -128,15 +114,50 @@ def posterior(model: Model, text: bytes) -> tuple[int, list[float]]:
     return n, softmax(model.weights[sorted(rows)].sum(0) + model.intercepts).tolist()
 
 
+def _tally(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    """(feature, domain, rows) of a task's rows (domain, features)."""
+    seen: Counter[tuple[bytes, str]] = Counter()
+    for batch in batches:
+        for y, found in batch:
+            seen.update((bytes(f), y) for f in found)
+    rows = [(f, y, n) for (f, y), n in seen.items()]
+    for k in range(0, len(rows), 10_000):
+        yield rows[k : k + 10_000]
+
+
 def learn(labelled: DataFrame, text: str = "text", domain: str = "domain", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from about rows of the labelled rows, in a fixed pseudo-random choice."""
+    """A model from labelled rows, in a fixed pseudo-random choice."""
     session(labelled)
     known = labelled.filter(F.col(domain).isNotNull() & F.col(text).isNotNull())
-    sample = sampled(known, key, share_of(known.count(), rows), "mixing:")
-    made = row_function(lambda t: (packed(t),), "f binary")(as_bytes(text))
-    got = sample.select(F.col(key).alias("k"), F.col(domain).cast("string").alias("y"), made.alias("x"))
-    found = sorted((k, y, bytes(f)) for k, y, f in got.select("k", "y", "x.f").toLocalIterator())
-    return fit([f for _, _, f in found], [y for _, y, _ in found])
+    made = row_function(lambda t: (sorted(features(t)[1]),), "f array<binary>")(as_bytes(text))["f"]
+    sample = sampled(known, known.count(), rows, "mixing:", key, text)
+    sample = stored(sample.select(F.col(domain).cast("string").alias("y"), made.alias("f")))
+    numbers = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    domains, total = sorted(numbers), sum(numbers.values())
+    if len(domains) < 2:
+        return Model(domains or ["all"], {}, np.zeros((0, 1)), np.zeros(1))
+    # A feature's share in each domain over its share in all rows; a domain without it has a share too.
+    size = F.create_map(*[F.lit(x) for y, n in numbers.items() for x in (y, n)])
+    seen = mapped(sample, _tally, "f binary, y string, n bigint").groupBy("f", "y").agg(F.sum("n").alias("n"))
+    told = seen.withColumn("share", (F.col("n") + 1) / (size[F.col("y")] + 2)).groupBy("f").agg(
+        F.sum("n").alias("c"), F.max("share").alias("most"), F.min("share").alias("least"), F.collect_set("y").alias("there")
+    )
+    overall = (F.col("c") + 1) / (total + 2)
+    largest = F.array_max(F.transform(F.array_except(F.array(*map(F.lit, domains)), "there"), lambda y: size[y]))
+    told = told.filter(F.col("c") >= MIN_ROWS).withColumn(
+        "telling", F.greatest(F.log(F.col("most") / overall), F.log(overall / F.least(F.col("least"), 1 / (largest + 2))))
+    )
+    best = told.filter(F.col("telling") >= MIN_RATIO).orderBy(F.desc("telling"), "f").limit(MAX_FEATURES)
+    chosen = sorted(bytes(r["f"]) for r in best.select("f").collect())
+    shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+
+    def numbered(at: dict[bytes, int], found: list[bytes]) -> tuple[bytes]:
+        return (np.array(sorted(at[f] for f in map(bytes, found) if f in at), np.int32).tobytes(),)
+
+    got = sample.select("y", row_function(numbered, "f binary", lambda: shared.value)("f")["f"].alias("f"))
+    found = sorted((bytes(f), y) for y, f in got.toLocalIterator())
+    labels = np.array([domains.index(y) for _, y in found])
+    return fit([np.frombuffer(f, np.int32) for f, _ in found], labels, chosen, domains)
 
 
 def with_posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -145,48 +166,62 @@ def with_posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     return added(docs, row_function(lambda m, t: posterior(m, t), POSTERIOR, lambda: shared.value)(as_bytes(text)), POSTERIOR)
 
 
-def _dot(p: Column, vector: list[float]) -> Column:
-    terms = [F.get(p, F.lit(k)) * F.lit(float(v)) for k, v in enumerate(vector)]
-    return sum(terms[1:], terms[0])
+def rates(posteriors: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """The rates after the steps, from posteriors with a row for each document."""
+    out = np.ones(len(posteriors))
+    for s in steps:
+        out = np.maximum(0.0, out - posteriors @ np.array(s))
+    return out
 
 
-def rate_column(steps: list[list[float]]) -> Column:
+def _matrix(column: pa.Array, domains: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
+
+
+def rate_column(steps: list[list[float]], domains: int) -> Column:
     """A document's rate after the steps, from its posterior."""
-    rate: Column = F.lit(1.0)
-    for s in steps:
-        rate = F.greatest(F.lit(0.0), rate - _dot(F.col("posterior"), s))
-    return rate
 
+    def one(posteriors: pa.Array) -> pa.Array:
+        return pa.array(rates(_matrix(posteriors, domains), steps))
 
-def domain_totals(scored: DataFrame, domains: int, steps: list[list[float]]) -> np.ndarray:
-    """The expected tokens of each domain at the rates after the steps."""
-    weight = F.col("n_tokens") * F.col("_rate")
-    sums = [F.sum(weight * F.get("posterior", F.lit(k))).alias(f"t{k}") for k in range(domains)]
-    got = scored.select("n_tokens", "posterior", rate_column(steps).alias("_rate")).agg(*sums).first()
-    return np.array([x or 0.0 for x in got])
+    return F.arrow_udf(one, "double")("posterior")
 
 
-def solve(scored: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The steps of the projected gradient; scored is read once a step, so it should be stored.
+def _summed(scored: DataFrame, domains: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of the vectors that of gives for batches of tokens and posteriors."""
+    schema = arrow_schema("k int, v double")
 
-    A warning gives the remaining gap where it is above the tolerance after the last step.
-    """
-    d = len(targets)
-    p, t = [F.get("posterior", F.lit(k)) for k in range(d)], F.col("n_tokens")
-    gram = scored.agg(*[F.sum(t * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
-    g = np.array([x or 0.0 for x in gram]).reshape(d, d)
-    inverse = np.linalg.pinv(g, 1e-9, True)
-    want, steps = np.array(targets), []
-    for _ in range(MAX_STEPS):
-        gap = domain_totals(scored, d, steps) - want
-        if np.abs(gap).max() <= TOLERANCE * max(want.sum(), 1.0):
-            break
-        steps.append((inverse @ gap).tolist())
-    else:
-        gap = np.abs(domain_totals(scored, d, steps) - want).max()
-        if gap > TOLERANCE * max(want.sum(), 1.0):
-            warnings.warn(f"rates miss a target by {gap:.6g} of {want.sum():.6g} tokens after {MAX_STEPS} steps", stacklevel=2)
-    return steps
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((of(b.column(0).to_numpy().astype(float), _matrix(b.column(1), domains)) for b in batches), 0.0)
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=schema)
+
+    parts = scored.select("n_tokens", "posterior").mapInArrow(run, fields("k int, v double"))
+    return np.array([r["v"] for r in sorted(parts.groupBy("k").agg(F.sum("v").alias("v")).collect())])
+
+
+def domain_totals(scored: DataFrame, domains: int, steps: list[list[float]]) -> np.ndarray:
+    """The expected tokens of each domain at the rates after the steps."""
+    got = _summed(scored, domains, lambda t, p: (t * rates(p, steps)) @ p)
+    return got if len(got) else np.zeros(domains)
+
+
+def solve(scored: DataFrame, targets: list[float]) -> tuple[list[list[float]], np.ndarray]:
+    """The steps of the projected gradient, and the totals reached; scored is read once a step, so it should be stored."""
+    d, want = len(targets), np.array(targets)
+    gram = _summed(scored, d, lambda t, p: ((p * t[:, None]).T @ p).ravel())
+    inverse = np.linalg.pinv(gram.reshape(d, d) if len(gram) else np.zeros((d, d)), 1e-9, True)
+    steps: list[list[float]] = []
+    gaps: list[float] = []
+    while True:
+        reached = domain_totals(scored, d, steps)
+        gaps.append(float(np.abs(reached - want).max()))
+        if gaps[-1] <= TOLERANCE * max(want.sum(), 1.0):
+            return steps, reached
+        if len(gaps) > STALL and gaps[-1] > (1 - PROGRESS) * gaps[-1 - STALL]:
+            warnings.warn(f"rates miss a target by {gaps[-1]:.6g} of {want.sum():.6g} tokens after {len(steps)} steps", stacklevel=2)
+            return steps, reached
+        steps.append((inverse @ (reached - want)).tolist())
 
 
 def anchored_targets(totals: np.ndarray, domains: list[str], weights: dict[str, float], anchor: str) -> list[float]:
@@ -200,30 +235,43 @@ def anchored_targets(totals: np.ndarray, domains: list[str], weights: dict[str,
     return [float(weights[x] * unit) if x in weights else float(t) for x, t in zip(domains, totals, strict=True)]
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """The model; for each of its domains the target and the total that the rates reach."""
+
+    model: Model
+    targets: list[float]
+    reached: list[float]
+
+
 def mix(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str, key: str = "doc_id", text: str = "text",
-    keep: list[str] | None = None, seed: str = "mix:",
-) -> tuple[DataFrame, Model, list[float]]:
-    """Documents with n_tokens, posterior, rate and copies; the model; the targets of its domains.
+    keep: list[str] | None = None, seed: str = "mix:", tokens: str | None = None,
+) -> tuple[DataFrame, Mixture]:
+    """Documents with n_tokens, posterior, rate and copies; and what was fitted.
 
-    labelled has text, key and domain. keep limits the columns of docs in the result. The documents
-    with their posteriors are written once to the shared folder; each step of the solver reads two columns.
+    labelled has text, key and domain. keep limits the columns of docs in the result. tokens names a column
+    of docs with token numbers. The documents with their posteriors are written once to the shared folder;
+    each step of the solver reads two columns.
     """
     model = learn(labelled, text, "domain", key)
-    scored = with_posteriors(docs, model, text)
-    if keep is not None:
-        scored = scored.select(*keep, "n_tokens", "posterior")
-    scored = stored(scored.drop("rate", "copies"))
+    counted = docs if tokens is None else docs.withColumn("_n", F.coalesce(F.col(f"`{tokens}`").cast("bigint"), F.lit(0)))
+    scored = with_posteriors(counted, model, text)
+    if tokens is not None:
+        scored = scored.withColumn("n_tokens", F.col("_n")).drop("_n")
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULT]
+    scored = stored(scored.select(*[f"`{c}`" for c in own], "n_tokens", "posterior"))
     totals = domain_totals(scored, len(model.domains), [])
     targets = anchored_targets(totals, model.domains, weights, anchor)
-    steps = solve(scored, targets)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10)
-    rated = scored.withColumn("rate", F.round(rate_column(steps), 9))
+    steps, reached = solve(scored, targets)
+    at = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")) if key in own else F.lit("")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), at)), 1, 8), 16, 10)
+    rated = scored.withColumn("rate", F.round(rate_column(steps, len(model.domains)), 9))
     copies = F.floor(F.col("rate") + draw.cast("double") / 2**32).cast("int")
-    return rated.withColumn("copies", copies), model, targets
+    return rated.withColumn("copies", copies), Mixture(model, targets, reached.tolist())
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
     """Each row copies times, without the columns that mix added."""
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.filter("copies > 0").withColumn("_copy", times).drop("_copy", "n_tokens", "posterior", "rate", "copies")
+    return mixed.filter("copies > 0").withColumn("_copy", times).drop("_copy", *RESULT)

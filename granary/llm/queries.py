@@ -49,8 +49,8 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed, model, _ = mixing.mix(docs, domain_labels(spark, sf_dir), DOMAIN_WEIGHTS, ANCHOR, keep=["doc_id"])
-    shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    mixed, fitted = mixing.mix(docs, domain_labels(spark, sf_dir), DOMAIN_WEIGHTS, ANCHOR, keep=["doc_id"])
+    shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(fitted.model.domains)]
     return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 

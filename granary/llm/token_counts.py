@@ -2,8 +2,8 @@
 
 The vocabulary's own pattern cuts a text into pre-tokens, whose token numbers
 add up. Tier one is a compact table of frequent pre-tokens and their lengths,
-broadcast to every worker: it is learnt from a sample of SAMPLE_ROWS rows and
-holds at most TABLE_ENTRIES entries of at most MAX_KEY bytes, so its size is
+broadcast to every worker: it is learnt from about SAMPLE_ROWS rows (twice as
+many at most, chosen row by row) and holds at most TABLE_ENTRIES entries of at most MAX_KEY bytes, so its size is
 bounded whatever the corpus. Tier two is a cache in each worker, bounded too:
 what neither holds is encoded by the library and remembered. What the tables
 hold changes only the time; every whole text is counted exactly.
@@ -26,12 +26,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import added, as_bytes, mapped, row_function, sampled, session, share_of
+from granary.llm.common import SAMPLE_TASKS, added, as_bytes, mapped, row_function, session
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 RESULT = "n_bytes bigint, n_tokens bigint, over_limit boolean"
-SAMPLE_ROWS, SAMPLE_TASKS = 2_000, 8
+SAMPLE_ROWS = 2_000
 TABLE_ENTRIES, MAX_KEY = 65_536, 48
 CACHE_ENTRIES = 250_000
 
@@ -99,7 +99,10 @@ def count(name: str, frequent: dict[str, int], text: bytes, limit: int = LIMIT)
 
 
 def frequent_pieces(docs: DataFrame, text: str, name: str, rows: int, entries: int) -> dict[str, int]:
-    """The first tier, from about rows sampled rows in SAMPLE_TASKS tasks that give entries pieces each at most."""
+    """The first tier, from about rows sampled rows in SAMPLE_TASKS tasks that give entries pieces each at most.
+
+    What the sample holds changes only the time, so rows are drawn where they lie, without reading their texts first.
+    """
 
     def top(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         counts: Counter[str] = Counter()
@@ -108,8 +111,8 @@ def frequent_pieces(docs: DataFrame, text: str, name: str, rows: int, entries: i
                 counts.update(p for p in vocabulary(name).pieces(data.decode("utf-8", "replace"))[0] if len(p.encode()) <= MAX_KEY)
         yield [(p, n, vocabulary(name).length(p)) for p, n in counts.most_common(entries) if n > 1]
 
-    keyed = docs.select(F.xxhash64(text).alias("k"), as_bytes(text).alias("t"))
-    few = sampled(keyed, "k", share_of(docs.count(), rows), "pieces").select("t").repartition(SAMPLE_TASKS)
+    share = min(1.0, rows / max(docs.count(), 1))
+    few = docs.sample(share, 7).limit(2 * rows).select(as_bytes(text).alias("t")).repartition(SAMPLE_TASKS)
     seen: Counter[str] = Counter()
     size: dict[str, int] = {}
     for piece, n, length in mapped(few, top, "piece string, n bigint, length int").collect():
