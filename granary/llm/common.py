@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -36,7 +38,26 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/granary-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/granary/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/granary/{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+#: The folders that scratch_dir gave out within temporary().
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders made inside at its end, when what was read from them is written elsewhere."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get() or ():
+            deleted(spark, path)
+        _made.reset(before)
 
 
 #: Spark's setting that frees the shuffle files of a finished query.
@@ -59,7 +80,16 @@ def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    return stored_at(df)[0]
+    """stored_at, with the folder as the frame's attribute scratch."""
+    out, path = stored_at(df)
+    out.scratch = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that stored() gave and nothing reads any more."""
+    for frame in frames:
+        deleted(frame.sparkSession, frame.scratch)
 
 
 def deleted(spark: SparkSession, path: str) -> None:

@@ -68,7 +68,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import (
-    arrow_schema, as_bytes, deleted, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored, stored_at,
+    arrow_schema, as_bytes, deleted, discarded, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored, stored_at,
 )
 from granary.llm.components import components
 
@@ -318,10 +318,14 @@ def _members(texts: DataFrame, size: int, threshold: tuple[int, int], counts: di
     slices = [_shared(index(texts, size, threshold, counts, part, parts)) for part in range(parts)]
     shared = reduce(DataFrame.union, [s for s, _ in slices])
     heavy = _heavy(shared).union(slices[0][1]).groupBy(F.col("id").alias("i")).agg(F.collect_set("band").alias("bands"))
+    heavy = stored(heavy)
+    kept = shared.filter(F.col("c") <= HOT).select("id", "cell", "h")
+    if heavy.isEmpty():
+        return kept
     again, _ = _shared(second_index(texts.join(heavy, F.col("id") == F.col("i")), size, threshold))
     order = Window.partitionBy("id", F.shiftright("cell", 32)).orderBy(F.desc("c"), "h", "cell")
     left = again.withColumn("at", F.row_number().over(order)).filter("at > info")
-    return stored(shared.filter(F.col("c") <= HOT).select("id", "cell", "h").union(left.select("id", "cell", "h")))
+    return stored(kept.union(left.select("id", "cell", "h")))
 
 
 def _pairs(a: str, b: str) -> list:
@@ -401,9 +405,11 @@ def _verified(pairs: DataFrame, texts: Texts, threshold: tuple[int, int]) -> Dat
     marked = _beside(pairs, texts.marks.select("id", "n", "wide"))
     near = stored(marked.select("a", "b", _near(threshold)("n_a", "wide_a", "n_b", "wide_b")["near"].alias("near")))
     left = near.filter("near").select("a", "b").distinct()
-    both = _beside(left, texts.sets(left.select("a").union(left.select("b"))))
-    exact = both.select("a", "b", _overlap(threshold)("s_a", "s_b")["linked"].alias("linked"))
-    return stored(exact.union(near.filter(~F.col("near")).select("a", "b", F.lit(False).alias("linked"))))
+    sets = texts.sets(left.select("a").union(left.select("b")))
+    exact = _beside(left, sets).select("a", "b", _overlap(threshold)("s_a", "s_b")["linked"].alias("linked"))
+    out = stored(exact.union(near.filter(~F.col("near")).select("a", "b", F.lit(False).alias("linked"))))
+    discarded(near, sets)
+    return out
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -487,6 +493,8 @@ def _connected(members: DataFrame, texts: Texts, threshold: tuple[int, int]) ->
     tried = _verified(_star(members, first), texts, threshold)
     labels = components(tried.filter("linked"))
     left = _open(members, labels)
+    if left.isEmpty():
+        return labels
     links = tried.filter("linked")
     degree = links.select(F.col("a").alias("d")).union(links.select("b")).groupBy("d").agg(F.count(F.lit(1)).alias("links"))
     ranked = left.join(degree, F.col("id") == F.col("d"), "left")
@@ -496,6 +504,8 @@ def _connected(members: DataFrame, texts: Texts, threshold: tuple[int, int]) ->
     tried = tried.union(second)
     labels = components(tried.filter("linked"))
     left = _open(left.select("id", "cell", "h"), labels)
+    if left.isEmpty():
+        return labels
     rest = _close(left, texts.marks, threshold)
     third = _verified(_crossing(rest, labels, tried), texts, threshold)
     return components(tried.union(third).filter("linked"))
@@ -524,6 +534,8 @@ def _labelled(docs: DataFrame, size: int, threshold: tuple[int, int], key: str,
     copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep")
     copies = copies.select(F.col("id").alias("copy"), F.col("at").alias("copy_at")).distinct()
     single = texts.join(copies, (F.col("id") == F.col("copy")) & (F.col("at") == F.col("copy_at")), "left_anti")
+    if not counts:
+        return rows.select("id", "at", "n", F.col("id").alias("label"))
     members = _members(single, size, threshold, counts, parts)
     compared = Texts(texts, size)
     compared.mark(members.select("id"))

@@ -14,13 +14,20 @@ ranges as any other share of rows is. The global order is made the same way
 from ranges of the fractional rank. Rows that agree in source, key and text
 are alike, so their order among themselves does not matter.
 
+Only what the ranks need is sorted. placed() joins the shards to whole rows
+afterwards, by the file and row that Spark's hidden _metadata column gives, so
+long texts move once; rows that do not come from Parquet files, which have no
+such place, are carried along instead.
+
 A null source is a source of its own; a null key and a null text are allowed
-(size 16, CRC 0). With no rows the result is empty. Columns of docs pass
-through if asked for; one with the name of a result is replaced.
+(size 16, CRC 0). Repeated rows each get a slot. With no rows the result is
+empty. Columns of docs pass through if asked for; one with the name of a result
+is replaced.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +106,18 @@ def interleave(
         (F.col("_rank") - start).cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def placed(docs: DataFrame, **options) -> DataFrame:
+    """The whole rows of docs with the columns of RESULT. options are those of interleave."""
+    own = [c for c in docs.columns if c.lower() not in RESULT]
+    at = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        found = docs.select("*", *at)
+    except AnalysisException:
+        return interleave(docs, keep=tuple(own), **options)
+    shards = interleave(found, keep=("_file", "_row"), **options)
+    named = shards.select(F.col("_file").alias("_file_s"), F.col("_row").alias("_row_s"), *RESULT)
+    rows = found.select(*[f"`{c}`" for c in own], "_file", "_row")
+    joined = rows.join(named, (F.col("_file") == F.col("_file_s")) & (F.col("_row") == F.col("_row_s")))
+    return joined.select(*[f"`{c}`" for c in own], *RESULT)
