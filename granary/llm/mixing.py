@@ -5,12 +5,14 @@ posterior over domains. The rates r >= 0 of the documents then solve a
 least-squares problem: the expected tokens of a domain, the sum over documents
 of r * tokens * posterior, shall equal its target.
 
-The solver is projected gradient from r = 1. Residuals are measured in the
-metric of G, the token-weighted Gram matrix of the posteriors, and documents
-in the metric of their tokens; the objective's curvature is then at most one,
-so a step of length one never overshoots. A step subtracts from every rate
-the product of the posterior with one short vector, the same for all
-documents, and cuts at zero. Thus the driver holds only vectors with a number
+The solver is projected gradient from r = 1. Documents are measured in the
+metric of their tokens, and residuals in that of the token-weighted Gram matrix
+of the posteriors of the documents whose rate is not zero, so that a step of
+length one meets the targets but for what the cut at zero changes. Where such a
+step has made the gap larger, the next takes the matrix of all documents, in
+which the objective's curvature is at most one and no step overshoots. A step
+subtracts from every rate the product of the posterior with one short vector,
+the same for all documents, and cuts at zero. Thus the driver holds only vectors with a number
 per domain; a pass computes every document's rate from the steps so far and
 returns the sums by domain. It ends when the totals match or when STALL steps
 have brought the gap down by less than PROGRESS of it; the totals reached are
@@ -202,26 +204,38 @@ def _summed(scored: DataFrame, domains: int, of: Callable[[np.ndarray, np.ndarra
 
 def domain_totals(scored: DataFrame, domains: int, steps: list[list[float]]) -> np.ndarray:
     """The expected tokens of each domain at the rates after the steps."""
-    got = _summed(scored, domains, lambda t, p: (t * rates(p, steps)) @ p)
-    return got if len(got) else np.zeros(domains)
+    return _state(scored, domains, steps)[0]
+
+
+def _state(scored: DataFrame, domains: int, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of the domains, and the Gram matrix of the documents whose rate is not zero."""
+
+    def of(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        r = rates(p, steps)
+        return np.concatenate(((t * r) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel()))
+
+    got = _summed(scored, domains, of)
+    got = got if len(got) else np.zeros(domains + domains**2)
+    return got[:domains], got[domains:].reshape(domains, domains)
 
 
 def solve(scored: DataFrame, targets: list[float]) -> tuple[list[list[float]], np.ndarray]:
     """The steps of the projected gradient, and the totals reached; scored is read once a step, so it should be stored."""
     d, want = len(targets), np.array(targets)
-    gram = _summed(scored, d, lambda t, p: ((p * t[:, None]).T @ p).ravel())
-    inverse = np.linalg.pinv(gram.reshape(d, d) if len(gram) else np.zeros((d, d)), 1e-9, True)
     steps: list[list[float]] = []
     gaps: list[float] = []
+    whole = None
     while True:
-        reached = domain_totals(scored, d, steps)
+        reached, gram = _state(scored, d, steps)
+        whole = gram if whole is None else whole
         gaps.append(float(np.abs(reached - want).max()))
         if gaps[-1] <= TOLERANCE * max(want.sum(), 1.0):
             return steps, reached
-        if len(gaps) > STALL and gaps[-1] > (1 - PROGRESS) * gaps[-1 - STALL]:
+        if len(gaps) > STALL and min(gaps[-STALL:]) > (1 - PROGRESS) * min(gaps[:-STALL]):
             warnings.warn(f"rates miss a target by {gaps[-1]:.6g} of {want.sum():.6g} tokens after {len(steps)} steps", stacklevel=2)
             return steps, reached
-        steps.append((inverse @ (reached - want)).tolist())
+        metric = whole if len(gaps) > 1 and gaps[-1] > gaps[-2] else gram
+        steps.append((np.linalg.pinv(metric, 1e-9, True) @ (reached - want)).tolist())
 
 
 def anchored_targets(totals: np.ndarray, domains: list[str], weights: dict[str, float], anchor: str) -> list[float]:
