@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -84,12 +86,19 @@ class Relation:
         """Inner equi-join; the output has the left columns, then the right ones, both keys kept.
 
         NULL keys match nothing. broadcast is for a build side of known small size; otherwise
-        Spark chooses from statistics and AQE. A right column whose name is taken gets _r.
+        Spark chooses from statistics and AQE. A right column whose name is taken gets _r, or _r2 and so on.
         """
         if not keys:
             raise BindError("a join needs keys")
         taken = {c.lower() for c in self.df.columns}
-        right_names = {c: f"{c}_r" if c.lower() in taken else c for c in build.df.columns}
+        free = {c.lower() for c in build.df.columns} | taken
+        right_names = {}
+        for c in build.df.columns:
+            right_names[c] = c
+            if c.lower() in taken:
+                suffixes = (f"_r{k}" if k > 1 else "_r" for k in count(1))
+                right_names[c] = next(c + x for x in suffixes if (c + x).lower() not in free)
+                free.add(right_names[c].lower())
         right = build.df.select(*[F.col(f"`{c}`").alias(n) for c, n in right_names.items()])
         condition = None
         for left, other in keys:

@@ -12,7 +12,14 @@ def optimized(df: DataFrame) -> str:
 
 
 def physical(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan as it would run, with nothing left out of its scans."""
+    key, spark = "spark.sql.maxMetadataStringLength", df.sparkSession
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
 
 
 def pushed_filters(df: DataFrame) -> list[str]:

@@ -16,6 +16,7 @@ from granary.functions import Expr, avg, col, count, count_star, date, lit, max_
 from granary.operators import Order, Relation
 from granary.plans.lower import lower
 from granary.plans.sqltext import parse
+from granary.sources import CSV, TBL, DelimitedOptions, load_frame
 
 Tables = Callable[[str], Relation]
 
@@ -35,6 +36,17 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return read
 
 
+_ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority"
+
+
+def _reloaded(r: Relation, options: DelimitedOptions, missing: str = "false") -> Relation:
+    """The rows of orders, written as delimited lines and loaded; the priority is NULL where missing holds."""
+    last = F.when(F.expr(missing), F.lit(None)).otherwise(F.col("o_orderpriority"))
+    text = [F.coalesce(c.cast("string"), F.lit(options.null_token)) for c in (*map(F.col, r.df.columns[:-1]), last)]
+    end = F.lit(options.delimiter if options.trailing_delimiter else "")
+    return Relation(load_frame(r.df.select(F.concat(F.concat_ws(options.delimiter, *text), end)), r.df.schema, options))
+
+
 def _rounded(r: Relation, places: int, *names: str) -> Relation:
     return Relation(r.df.withColumns({n: F.round(n, places) for n in names}))
 
@@ -195,12 +207,20 @@ _ALL: list[tuple[str, Callable[[Tables], Relation], str]] = [
     ("topn_desc", lambda t: t("events").project("event_id", "value").top_n(25, Order("value", descending=True), "event_id"), "SELECT event_id, value FROM events ORDER BY 2 DESC, 1 LIMIT 25"),
     ("topn_zero", lambda t: t("events").project("event_id").top_n(0, "event_id"), "SELECT event_id FROM events LIMIT 0"),
     ("limit_n", lambda t: t("lineitem").project((col("l_linenumber") * 0).alias("zero")).limit(5), "SELECT l_linenumber * 0 AS zero FROM lineitem LIMIT 5"),
+    ("sort_bool", lambda t: t("orders").project((col("o_totalprice") > 100000.0).alias("dear"), "o_orderkey").top_n(40, "dear", Order("o_orderkey", descending=True)), "SELECT o_totalprice > 100000 AS dear, o_orderkey FROM orders ORDER BY 1, 2 DESC LIMIT 40"),
+    ("sort_int32", lambda t: t("customer").project("c_nationkey", "c_custkey").top_n(40, Order("c_nationkey", descending=True), "c_custkey"), "SELECT c_nationkey, c_custkey FROM customer ORDER BY 1 DESC, 2 LIMIT 40"),
+    ("sort_date", lambda t: t("orders").project("o_orderdate", "o_orderkey").top_n(40, "o_orderdate", "o_orderkey"), "SELECT CAST(o_orderdate AS DATE) AS o_orderdate, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 40"),
+    ("join_three_on_one_name", lambda t: t("customer").project(col("c_nationkey").alias("k"), "c_custkey").join(t("supplier").project(col("s_nationkey").alias("k"), "s_suppkey"), [("k", "k")]).join(t("nation").project(col("n_nationkey").alias("k"), "n_name"), [("k_r", "k")]).aggregate(["k", "k_r2", "n_name"], [count_star()]), "SELECT c_nationkey AS k, n_nationkey AS k_r2, n_name, count(*) AS count_star FROM customer, supplier, nation WHERE c_nationkey = s_nationkey AND s_nationkey = n_nationkey GROUP BY ALL"),
+    # Loaders: the table as lines of text, read back
+    ("load_csv", lambda t: _reloaded(t("orders"), CSV), f"SELECT {_ORDERS} FROM orders"),
+    ("load_csv_null_token", lambda t: _reloaded(t("orders"), DelimitedOptions(delimiter=";", null_token="\\N"), "o_orderstatus = 'F'"), "SELECT " + _ORDERS.replace("o_orderpriority", "CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority") + " FROM orders"),
+    ("load_tbl", lambda t: _reloaded(t("orders"), TBL), f"SELECT {_ORDERS} FROM orders"),
     # Whole statements
     ("tpch_q1", q1, Q1_SQL),
     ("tpch_q6", q6, _q6_sql(1996)),
     ("tpch_q6_empty_window", lambda t: q6(t, 1994), _q6_sql(1994)),
     ("sql_filter_order", _sql("SELECT o_orderkey, o_totalprice p FROM orders WHERE o_totalprice > 1000 AND NOT o_orderstatus = 'F' ORDER BY p DESC, o_orderkey LIMIT 30"), "SELECT o_orderkey, o_totalprice AS p FROM orders WHERE o_totalprice > 1000 AND NOT o_orderstatus = 'F' ORDER BY p DESC, o_orderkey LIMIT 30"),
-    ("sql_group", _sql("SELECT event_type, sum(event_id), count(*), min(value) AS lo FROM events WHERE event_id BETWEEN 10 AND 5000 GROUP BY event_type ORDER BY event_type"), "SELECT event_type, CAST(sum(event_id) AS BIGINT) AS sum, count(*) AS count_star, min(value) AS lo FROM events WHERE event_id BETWEEN 10 AND 5000 GROUP BY 1"),
+    ("sql_group", _sql("SELECT event_type, sum(event_id), count(*), min(value) AS lo FROM events WHERE value BETWEEN 10 AND 150 GROUP BY event_type ORDER BY event_type"), "SELECT event_type, CAST(sum(event_id) AS BIGINT) AS sum, count(*) AS count_star, min(value) AS lo FROM events WHERE value BETWEEN 10 AND 150 GROUP BY 1"),
     ("sql_group_expr", _sql("SELECT l_linenumber + 1 AS line, max(l_quantity) FROM lineitem WHERE l_shipdate < DATE '1998-01-01' GROUP BY l_linenumber + 1"), "SELECT l_linenumber + 1 AS line, max(l_quantity) AS max FROM lineitem WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1"),
     ("sql_star", _sql("SELECT * FROM region WHERE region.r_regionkey >= 2 OR FALSE"), "SELECT * FROM region WHERE r_regionkey >= 2"),
     ("sql_q6", lambda t: _rounded(lower(parse("SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"), t), 2, "revenue"), _q6_sql(1996)),

@@ -24,6 +24,9 @@ from granary.errors import BindError, IoError, LoadError
 TRUE_TEXT = ("1", "t", "T", "true", "TRUE")
 FALSE_TEXT = ("0", "f", "F", "false", "FALSE")
 
+#: A separator that no line holds, so that Spark's reader, which skips headers, takes each line whole.
+_NOWHERE = "\u0001\u0002granary\u0002\u0001"
+
 _INTEGER = r"^-?[0-9]+$"
 _REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -44,7 +47,7 @@ TBL = DelimitedOptions(delimiter="|", trailing_delimiter=True)
 def load_delimited(spark: SparkSession, path: str, schema: T.StructType, options: DelimitedOptions = CSV) -> DataFrame:
     """Reads files; with has_header the first line of each is skipped and not used for names."""
     reader = spark.read.schema("value string").options(
-        sep="\u0001", quote="", escape="", header=options.has_header, mode="PERMISSIVE"
+        sep=_NOWHERE, quote="", escape="", header=options.has_header, mode="PERMISSIVE"
     )
     try:
         lines = reader.csv(path)
@@ -63,6 +66,11 @@ def load_lines(
     return _typed(spark.createDataFrame(rows[1:] if options.has_header else rows, "value string"), schema, options)
 
 
+def load_frame(lines: DataFrame, schema: T.StructType, options: DelimitedOptions = CSV) -> DataFrame:
+    """The same for lines in the first column of a DataFrame, without headers."""
+    return _typed(lines.select(F.col(lines.columns[0]).alias("value")), schema, options)
+
+
 def _typed(lines: DataFrame, schema: T.StructType, options: DelimitedOptions) -> DataFrame:
     if not options.delimiter:
         raise BindError("the delimiter is empty")
