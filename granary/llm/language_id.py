@@ -49,12 +49,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.md5(F.concat(F.lit("language:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("at"),
         F.col(text).alias("text"),
     )
-    counts = rows.groupBy("lang").count()
-    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").select("lang").toLocalIterator()]
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()}
+    names = list(counts)
     room = min(DICTIONARY_BYTES, ALL_BYTES // max(len(names), 1))
     spread = F.conv(F.substring("at", 1, 8), 16, 10).cast("bigint")
-    wanted = spread < F.ceil(F.least(F.lit(1.0), SAMPLE_ROWS / F.col("count")) * 2**32)
-    chosen = rows.join(counts.withColumnRenamed("lang", "name"), F.col("lang") == F.col("name")).filter(wanted)
+    if not names:
+        return {}
+    # The shares as a literal, so that no text moves for the choice.
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, math.ceil(min(1.0, SAMPLE_ROWS / n) * 2**32))])
+    chosen = rows.filter(spread < share[F.col("lang")])
     cut = row_function(lambda t: (_beginning(letters(t), room),), "d binary")(as_bytes("text"))["d"]
     sample = stored(chosen.select("lang", "at", cut.alias("d"))).orderBy("lang", "at", "d")
     out: dict[str, list[bytes]] = {}
