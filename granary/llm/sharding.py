@@ -16,8 +16,9 @@ are alike, so their order among themselves does not matter.
 
 Only what the ranks need is sorted. placed() joins the shards to whole rows
 afterwards, by the file and row that Spark's hidden _metadata column gives, so
-long texts move once; rows that do not come from Parquet files, which have no
-such place, are carried along instead.
+long texts move once. That holds for a frame that is a plain scan of files;
+rows of any other, where one place may stand for several rows, are carried
+along instead.
 
 A null source is a source of its own; a null key and a null text are allowed
 (size 16, CRC 0). Repeated rows each get a slot. With no rows the result is
@@ -27,7 +28,6 @@ is replaced.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,14 +108,18 @@ def interleave(
     )
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether a frame is files read as Parquet and nothing else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and plan.simpleString(100).rstrip().endswith("parquet")
+
+
 def placed(docs: DataFrame, **options) -> DataFrame:
     """The whole rows of docs with the columns of RESULT. options are those of interleave."""
     own = [c for c in docs.columns if c.lower() not in RESULT]
-    at = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        found = docs.select("*", *at)
-    except AnalysisException:
+    if not _is_scan(docs):
         return interleave(docs, keep=tuple(own), **options)
+    found = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     shards = interleave(found, keep=("_file", "_row"), **options)
     named = shards.select(F.col("_file").alias("_file_s"), F.col("_row").alias("_row_s"), *RESULT)
     rows = found.select(*[f"`{c}`" for c in own], "_file", "_row")

@@ -42,7 +42,12 @@ def test_stage_takes_odd_rows(spark, sf, tmp_path, stage):
 
 
 def test_placed_equals_interleave(spark, sf, tmp_path):
-    docs = odd(spark, tmp_path, "placed").drop("size", "shard")
+    docs = odd(spark, tmp_path, "placed")
+    docs.drop("size", "shard").write.parquet(str(tmp_path / "plain"))
+    docs = spark.read.parquet(str(tmp_path / "plain"))
+    assert p.sharding._is_scan(docs) and not p.sharding._is_scan(docs.filter("doc_id > 0"))
+    many = docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert p.sharding.placed(many, shards=3).count() == 2 * docs.count()
     a = p.sharding.placed(docs, shards=3)
     b = p.sharding.interleave(docs, 3, keep=tuple(docs.columns))
     assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
