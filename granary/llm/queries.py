@@ -116,6 +116,38 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+#: The CRC of whole texts, byte by byte with a table made from the polynomial; ranks within sources, then over all rows.
+OP5_SQL = r"""
+WITH crcs AS (SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM range(0, 256) AS r(b))),
+x AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+y AS (SELECT *, list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT)) AS bytes FROM x),
+d AS (SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS source, md5('granary-interleave:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    CAST(strlen(text) + 16 AS BIGINT) AS size,
+    xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM y, crcs),
+r AS (SELECT *, (row_number() OVER (PARTITION BY none, source ORDER BY key, CAST(doc_id AS VARCHAR), crc, size) - 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY none, source) AS part FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY part, none, source, key, CAST(doc_id AS VARCHAR), crc, size) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 40 // n AS INTEGER) AS shard,
+    CAST(row_number() OVER (PARTITION BY place * 40 // n ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o
+"""
+
+#: Runs of three words, the numbers that two sets share, and what is reached by links.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + least(3, len(w)) - 1], ' ') AS g
+    FROM w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -133,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_wu_manber": OP2_SQL}
+    return {"op2_wu_manber": OP2_SQL, "op5_interleaved_shards": OP5_SQL, "op9_jaccard_join": OP9_SQL}

@@ -112,11 +112,12 @@ def test_repeated_words_with_many_words():
     assert fertility.base_counts(text)[4] == base(text.decode())[4] > 0
 
 
-# op2
+# op2, op5, op9
 
 
-def test_decontamination_matches_sql(spark, sf):
-    same(queries.op2_wu_manber(spark, sf), connect(sf), queries.OP2_SQL)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, sf, name):
+    same(queries.queries()[name](spark, sf), connect(sf), queries.oracle_sql()[name])
 
 
 @pytest.mark.parametrize("group_bytes", [8_000_000, 40])
