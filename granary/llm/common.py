@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -49,15 +50,23 @@ _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes the scratch folders made inside at its end, when what was read from them is written elsewhere."""
-    before = _made.set([])
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the scratch folders made inside at its end, when what was read from them is written elsewhere.
+
+    The frames of stored() that are put into the list stay; an enclosing temporary() deletes them.
+    """
+    outer, made, lasting = _made.get(), [], []
+    before = _made.set(made)
     try:
-        yield
+        yield lasting
     finally:
-        for path in _made.get() or ():
-            deleted(spark, path)
+        stay = {frame.scratch for frame in lasting}
+        for path in made:
+            if path not in stay:
+                deleted(spark, path)
         _made.reset(before)
+        if outer is not None:
+            outer.extend(stay)
 
 
 #: Spark's setting that frees the shuffle files of a finished query.
@@ -98,6 +107,44 @@ def deleted(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bits of a sieve at most, as a power of two, and for each key; bits of a block, which bitmap_construct_agg fixes.
+SIEVE_BITS, KEY_BITS, BLOCK_BITS = 26, 6, 15
+
+
+def sieve(keys: DataFrame) -> Callable[..., DataFrame]:
+    """picked(rows, *columns): the rows whose columns are a row of keys, all of bigint, and a few others.
+
+    With held=False it gives the rest, of which none is in keys. A table of one bit for each hash, of 2^KEY_BITS bits
+    a key and 8 MB at most, is made on the executors and broadcast, and rows stay where they are. Beyond some million
+    keys it lets more others pass, so what follows must be exact by itself.
+    """
+    bits = min(SIEVE_BITS, max(BLOCK_BITS, keys.count().bit_length() + KEY_BITS))
+
+    def place(*columns: Column | str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits)
+
+    places = keys.select(place(*keys.columns).alias("p"))
+    made = places.groupBy(F.shiftright("p", BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("p") % (1 << BLOCK_BITS)).alias("map"))
+    blocks = stored(made)
+
+    def picked(rows: DataFrame, *columns: Column, held: bool = True) -> DataFrame:
+        name, p = "_" + uuid.uuid4().hex, place(*columns)
+        named = blocks.select(F.col("block").alias(f"{name}_block"), F.col("map").alias(f"{name}_map"))
+        joined = rows.join(F.broadcast(named), F.shiftright(p, BLOCK_BITS) == F.col(f"{name}_block"), "left")
+        byte = F.substring(f"{name}_map", (F.shiftright(p % (1 << BLOCK_BITS), 3) + 1).cast("int"), F.lit(1))
+        passes = F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (p % 8).cast("int")), F.lit(0)) == 1
+        return joined.filter(passes if held else ~passes).select(*[f"`{c}`" for c in rows.columns])
+
+    return picked
+
+
+def without(rows: DataFrame, keys: DataFrame, *columns: Column) -> DataFrame:
+    """The rows whose columns, of bigint, are no row of keys. Only those that a sieve of the keys holds are shuffled."""
+    picked = sieve(keys)
+    same = reduce(Column.__and__, [c == F.col(k) for c, k in zip(columns, keys.columns, strict=True)])
+    return picked(rows, *columns, held=False).unionAll(picked(rows, *columns).join(keys, same, "left_anti"))
+
+
 def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

@@ -68,7 +68,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import (
-    arrow_schema, as_bytes, deleted, discarded, fields, lower_ascii, mapped, mix, row_function, session, shingles, stored, stored_at,
+    arrow_schema, as_bytes, deleted, discarded, fields, lower_ascii, mapped, mix, row_function, session, shingles, sieve, stored,
+    stored_at, temporary, without,
 )
 from granary.llm.components import components
 
@@ -291,14 +292,16 @@ def _batch(parts: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _shared(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The signatures that two sets or more have, with their number c, and the (id, band) marked as heavy.
 
-    The signatures are written once and deleted.
+    The signatures are written once and deleted. They are counted before the join, so that the shuffle of the one
+    is gone when that of the other begins.
     """
     written, path = stored_at(found)
     many = written.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    many = many.withColumnRenamed("h", "h_m")
+    many = stored(many.withColumnRenamed("h", "h_m"))
     shared = stored(written.join(many, F.col("h") == F.col("h_m")).select("id", "cell", "info", "h", "c"))
     marked = stored(written.filter("h is null").select("id", F.shiftright("cell", 32).alias("band")))
     deleted(found.sparkSession, path)
+    discarded(many)
     return shared, marked
 
 
@@ -322,10 +325,13 @@ def _members(texts: DataFrame, size: int, threshold: tuple[int, int], counts: di
     kept = shared.filter(F.col("c") <= HOT).select("id", "cell", "h")
     if heavy.isEmpty():
         return kept
-    again, _ = _shared(second_index(texts.join(heavy, F.col("id") == F.col("i")), size, threshold))
+    held = sieve(heavy.select("i"))(texts, "id")
+    again, _ = _shared(second_index(held.join(heavy, F.col("id") == F.col("i")), size, threshold))
     order = Window.partitionBy("id", F.shiftright("cell", 32)).orderBy(F.desc("c"), "h", "cell")
     left = again.withColumn("at", F.row_number().over(order)).filter("at > info")
-    return stored(kept.union(left.select("id", "cell", "h")))
+    members = stored(kept.union(left.select("id", "cell", "h")))
+    discarded(heavy, again, *[x for both in slices for x in both])
+    return members
 
 
 def _pairs(a: str, b: str) -> list:
@@ -371,17 +377,22 @@ def _near(threshold: tuple[int, int]):
 
 
 class Texts:
-    """What pairs are compared by: marks (id, n, sketch, wide) of every member, and the sets of those asked for."""
+    """What pairs are compared by: marks (id, n, sketch, wide) of every member, and the sets of those asked for.
+
+    Texts are picked by a sieve of the ids, where they are; the few others that pass are in no pair.
+    """
 
     def __init__(self, docs: DataFrame, size: int) -> None:
         self.docs, self.size = docs, size
 
     def _of(self, ids: DataFrame, function, ddl: str) -> DataFrame:
-        """The fields of ddl for each text of ids (one column)."""
-        wanted = ids.select(F.col(ids.columns[0]).alias("wanted")).distinct()
-        chosen = self.docs.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+        """The fields of ddl for each text of ids (one column), and for a few others."""
+        wanted = stored(ids.distinct())
+        chosen = sieve(wanted)(self.docs, "id")
         made = chosen.select("id", row_function(function, ddl)(as_bytes("t")).alias("m"))
-        return stored(made.select("id", "m.*"))
+        out = stored(made.select("id", "m.*"))
+        discarded(wanted)
+        return out
 
     def mark(self, ids: DataFrame) -> None:
         size = self.size
@@ -532,10 +543,10 @@ def _labelled(docs: DataFrame, size: int, threshold: tuple[int, int], key: str,
     counts = {b: int(c) for b, c in sizes.select(_band(F.col("n")).alias("b"), "count").groupBy("b").agg(F.sum("count")).collect()}
     # Copies are indexed under their representative: of equal sets, only one row's signatures stay.
     copies = rows.join(repeated, F.col("digest") == F.col("same")).filter("id <> rep")
-    copies = copies.select(F.col("id").alias("copy"), F.col("at").alias("copy_at")).distinct()
-    single = texts.join(copies, (F.col("id") == F.col("copy")) & (F.col("at") == F.col("copy_at")), "left_anti")
+    copies = stored(copies.select(F.col("id").alias("copy"), F.col("at").alias("copy_at")).distinct())
     if not counts:
         return rows.select("id", "at", "n", F.col("id").alias("label"))
+    single = without(texts, copies, F.col("id"), F.col("at"))
     members = _members(single, size, threshold, counts, parts)
     compared = Texts(texts, size)
     compared.mark(members.select("id"))
@@ -576,17 +587,19 @@ def representatives(
     Of the rows of that id, one stays for each different text. A column of docs may have any name but the four of the joins here,
     _drop, _drop_at, _again and _again_at.
     """
-    found = _labelled(docs, size, threshold, key, text, parts)
-    at = F.xxhash64(f"`{text}`")
-    drop = stored(found.filter("id <> label").select(F.col("id").alias("_drop"), F.col("at").alias("_drop_at")).distinct())
-    kept = docs.join(drop, (F.col(f"`{key}`") == F.col("_drop")) & (at == F.col("_drop_at")), "left_anti")
-    again = found.filter("id = label").groupBy("id", "at").count().filter("count > 1")
-    again = stored(again.select(F.col("id").alias("_again"), F.col("at").alias("_again_at")))
+    with temporary(docs.sparkSession) as lasting:
+        found = _labelled(docs, size, threshold, key, text, parts)
+        drop = stored(found.filter("id <> label").select(F.col("id").alias("_drop"), F.col("at").alias("_drop_at")).distinct())
+        again = found.filter("id = label").groupBy("id", "at").count().filter("count > 1")
+        again = stored(again.select(F.col("id").alias("_again"), F.col("at").alias("_again_at")))
+        lasting += [drop, again]
+    same = F.col(f"`{key}`").cast("bigint"), F.xxhash64(f"`{text}`")
+    kept = without(docs, drop, *same)
     if again.limit(1).count() == 0:
         return kept
-    repeated = (F.col(f"`{key}`") == F.col("_again")) & (at == F.col("_again_at"))
+    repeated = (same[0] == F.col("_again")) & (same[1] == F.col("_again_at"))
     whole = F.struct(*[f"`{c}`" for c in docs.columns])
-    first = kept.join(again, repeated, "left_semi").groupBy(F.col(f"`{key}`").alias("_k"), at.alias("_t")).agg(
+    first = sieve(again)(kept, *same).join(again, repeated, "left_semi").groupBy(same[0].alias("_k"), same[1].alias("_t")).agg(
         F.min_by(whole, F.xxhash64(whole)).alias("_row")
     )
-    return kept.join(again, repeated, "left_anti").union(first.select("_row.*"))
+    return without(kept, again, *same).union(first.select("_row.*"))

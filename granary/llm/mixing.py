@@ -162,10 +162,16 @@ def learn(labelled: DataFrame, text: str = "text", domain: str = "domain", key:
     return fit([np.frombuffer(f, np.int32) for f, _ in found], labels, chosen, domains)
 
 
-def with_posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the columns of POSTERIOR, in the order of model.domains."""
+def with_posteriors(docs: DataFrame, model: Model, text: str = "text", steps: list[list[float]] | None = None) -> DataFrame:
+    """docs with the columns of POSTERIOR, in the order of model.domains; with steps, also the rate after them."""
     shared = session(docs).sparkContext.broadcast(model)
-    return added(docs, row_function(lambda m, t: posterior(m, t), POSTERIOR, lambda: shared.value)(as_bytes(text)), POSTERIOR)
+
+    def one(m: Model, t: bytes) -> tuple:
+        n, p = posterior(m, t)
+        return (n, p) if steps is None else (n, p, float(rates(np.array([p]), steps)[0]))
+
+    ddl = POSTERIOR if steps is None else f"{POSTERIOR}, rate double"
+    return added(docs, row_function(one, ddl, lambda: shared.value)(as_bytes(text)), ddl)
 
 
 def rates(posteriors: np.ndarray, steps: list[list[float]]) -> np.ndarray:
@@ -265,22 +271,28 @@ def mix(
     """Documents with n_tokens, posterior, rate and copies; and what was fitted.
 
     labelled has text, key and domain. keep limits the columns of docs in the result. tokens names a column
-    of docs with token numbers. The documents with their posteriors are written once to the shared folder;
-    each step of the solver reads two columns.
+    of docs with token numbers. What each step of the solver reads is written once to the shared folder, with the
+    columns in keep; but where those have the text, the posteriors alone, and the texts are classified again.
     """
     model = learn(labelled, text, "domain", key)
     counted = docs if tokens is None else docs.withColumn("_n", F.coalesce(F.col(f"`{tokens}`").cast("bigint"), F.lit(0)))
-    scored = with_posteriors(counted, model, text)
-    if tokens is not None:
-        scored = scored.withColumn("n_tokens", F.col("_n")).drop("_n")
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULT]
-    scored = stored(scored.select(*[f"`{c}`" for c in own], "n_tokens", "posterior"))
+
+    def measured(steps: list[list[float]] | None = None) -> DataFrame:
+        rows = with_posteriors(counted, model, text, steps)
+        if tokens is not None:
+            rows = rows.withColumn("n_tokens", F.col("_n"))
+        return rows.select(*[f"`{c}`" for c in own], "n_tokens", "posterior", *(["rate"] if steps is not None else []))
+
+    scored = measured()
+    scored = stored(scored.select("n_tokens", "posterior") if text in own else scored)
     totals = domain_totals(scored, len(model.domains), [])
     targets = anchored_targets(totals, model.domains, weights, anchor)
     steps, reached = solve(scored, targets)
     at = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")) if key in own else F.lit("")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), at)), 1, 8), 16, 10)
-    rated = scored.withColumn("rate", F.round(rate_column(steps, len(model.domains)), 9))
+    rated = measured(steps) if text in own else scored.withColumn("rate", rate_column(steps, len(model.domains)))
+    rated = rated.withColumn("rate", F.round("rate", 9))
     copies = F.floor(F.col("rate") + draw.cast("double") / 2**32).cast("int")
     return rated.withColumn("copies", copies), Mixture(model, targets, reached.tolist())
 

@@ -1,6 +1,7 @@
 """Each stage on odd rows and clashing columns, and the whole run."""
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -8,6 +9,8 @@ from llm_data import ODD, documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from granary.llm import common
+
 CLASHES = ("kept", "n_tokens", "rate", "copies", "posterior", "spans", "size", "shard", "digest", "label", "at", "id", "_drop_x")
 
 
@@ -62,3 +65,61 @@ def test_run_leaves_one_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert got and all(texts[r.doc_id] == r.text for r in got)
     assert sorted(r.slot for r in got if r.shard == 0) == list(range(sum(r.shard == 0 for r in got)))
+
+
+def scratch(spark):
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/granary".removeprefix("file://")
+    return {f"{base}/{x}" for x in os.listdir(base)} if os.path.isdir(base) else set()
+
+
+def size(path):
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(path) for f in names)
+
+
+def long_texts(spark, tmp_path, rows=300):
+    """Few words, all of them long and random, so that texts are nearly all there is to move."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.randbytes(600).hex() for _ in range(30)) for _ in range(rows)]
+    texts[-5:] = [texts[k] + " x" for k in range(5)]
+    documents(spark, [(k, t, "en", "s", k) for k, t in enumerate([*texts, texts[0]])]).write.parquet(str(tmp_path / "long"))
+    return spark.read.parquet(str(tmp_path / "long"))
+
+
+@pytest.mark.parametrize("bits", [6, 26])
+def test_without_is_an_anti_join(spark, monkeypatch, bits):
+    """Also where the sieve is so small that most rows pass it."""
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    ids = [(k, k % 7) for k in range(400)] + [(None, 1), (3, None), (3, 3)]
+    rows = spark.createDataFrame(ids, "id bigint, at bigint")
+    keys = spark.createDataFrame([(k, k % 5) for k in range(0, 400, 3)] + [(None, 1)], "x bigint, y bigint")
+    held = common.sieve(keys)(rows, "id", "at")
+    want = Counter(r for r in ids if r[0] is None or r[1] is None or r[0] % 3 or r[0] % 5 != r[1])
+    got = common.without(rows, keys, F.col("id"), F.col("at"))
+    assert Counter(map(tuple, got.collect())) == want and got.columns == rows.columns
+    assert {r for r in ids if r not in want} <= set(map(tuple, held.collect()))
+    assert (held.count() > 250) == (bits == 6) and held.columns == rows.columns
+    assert common.without(rows, keys.limit(0), F.col("id"), F.col("at")).count() == len(ids)
+
+
+def test_near_duplicates_shuffles_no_text_that_is_nobodys_copy(spark, sf, tmp_path):
+    docs = long_texts(spark, tmp_path)
+    before, key = scratch(spark), "spark.sql.autoBroadcastJoinThreshold"
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    spark.conf.set(key, "-1")
+    try:
+        at = written()
+        got = [r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()]
+        moved = written() - at
+    finally:
+        spark.conf.unset(key)
+    assert sorted(got) == list(range(295))
+    assert moved < size(tmp_path / "long") / 2
+    assert sum(map(size, scratch(spark) - before)) < 20_000
+
+
+def test_mixture_keeps_no_copy_of_the_texts(spark, sf, tmp_path):
+    docs, before = long_texts(spark, tmp_path), scratch(spark)
+    got = p.mixture(spark, docs, sf).collect()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert got and {(r.doc_id, r.text) for r in got} <= texts
+    assert not any("text" in spark.read.parquet(x).columns for x in scratch(spark) - before)
