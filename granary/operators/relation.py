@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granary.errors import BindError
 from granary.functions import Aggregate, Expr, col
 from granary.functions.expr import Named, Ref
+from granary.operators.folded import Joined, folded
 from granary.result import Result
 
 
@@ -32,11 +33,13 @@ class Order:
 class Relation:
     """A DataFrame with the engine's names, types, null order and errors."""
 
-    def __init__(self, df: DataFrame, strict: bool = False, extended: bool = False) -> None:
-        self.df, self.strict, self.extended = df, strict, extended
+    def __init__(
+        self, df: DataFrame, strict: bool = False, extended: bool = False, joined: Joined | None = None
+    ) -> None:
+        self.df, self.strict, self.extended, self.joined = df, strict, extended, joined
 
-    def _with(self, df: DataFrame) -> Relation:
-        return Relation(df, self.strict, self.extended)
+    def _with(self, df: DataFrame, joined: Joined | None = None) -> Relation:
+        return Relation(df, self.strict, self.extended, joined)
 
     def _bind(self, expr: Expr) -> Column:
         return expr.bind(self.df.schema, self.strict).column
@@ -56,6 +59,7 @@ class Relation:
         """Groups by keys (NULL is one group); without keys, exactly one row comes out.
 
         Without aggregates the distinct keys remain. A name given twice gets _1, _2 and so on.
+        Right after joins, the inputs are grouped before they are joined.
         """
         keys, aggs = keys or [], aggs or []
         if not keys and not aggs:
@@ -63,13 +67,13 @@ class Relation:
         named = _named(keys)
         names = unique([n for _, n in named] + [a.name or a.default_name for a in aggs])
         group = [self._bind(e).alias(n) for (e, _), n in zip(named, names, strict=False)]
+        df, out = self.df, [a.bind(self.df.schema, self.strict, self.extended) for a in aggs]
+        if self.joined is not None:
+            df, out = folded(self, [e for e, _ in named], aggs) or (df, out)
         if not aggs:
-            return self._with(self.df.select(*group).distinct())
-        out = [
-            a.bind(self.df.schema, self.strict, self.extended).alias(n)
-            for a, n in zip(aggs, names[len(group) :], strict=True)
-        ]
-        return self._with(self.df.groupBy(*group).agg(*out) if group else self.df.agg(*out))
+            return self._with(df.select(*group).distinct())
+        out = [c.alias(n) for c, n in zip(out, names[len(group) :], strict=True)]
+        return self._with(df.groupBy(*group).agg(*out) if group else df.agg(*out))
 
     def order_by(self, *orders: Order | str) -> Relation:
         keys = [o if isinstance(o, Order) else Order(o) for o in orders]
@@ -100,7 +104,7 @@ class Relation:
                 right_names[c] = next(c + x for x in suffixes if (c + x).lower() not in free)
                 free.add(right_names[c].lower())
         right = build.df.select(*[F.col(f"`{c}`").alias(n) for c, n in right_names.items()])
-        condition = None
+        condition, pairs = None, []
         for left, other in keys:
             a, b = col(left).bind(self.df.schema), col(other).bind(build.df.schema)
             if self.strict and a.dtype != b.dtype:
@@ -108,7 +112,9 @@ class Relation:
             name = next(n for c, n in right_names.items() if c.lower() == col(other).name.lower())
             one = self.df[col(left).name] == right[name]
             condition = one if condition is None else condition & one
-        return self._with(self.df.join(F.broadcast(right) if broadcast else right, condition, "inner"))
+            pairs.append((next(c for c in self.df.columns if c.lower() == col(left).name.lower()), name))
+        joined = Joined(self, build, right_names, pairs, broadcast)
+        return self._with(self.df.join(F.broadcast(right) if broadcast else right, condition, "inner"), joined)
 
     def collect(self) -> Result:
         return Result(self.df.schema, self.df.collect())

@@ -269,3 +269,35 @@ def test_pushed_filters_are_whole(spark, sf):
         df = df.filter(f"l_orderkey <> {k} and l_partkey <> {k}")
     (pushed,) = inspect.pushed_filters(df)
     assert pushed.count("l_orderkey") >= 12 and "..." not in pushed
+
+
+def test_an_aggregate_over_joins_makes_no_joined_rows(spark):
+    hot = Relation(spark.range(300_000).selectExpr("1 AS k", "id AS a"))
+    out = hot.join(Relation(hot.df.selectExpr("k", "a AS b")), [("k", "k")]).join(rel(spark, "k int, n string", (1, "x"), (2, "y")), [("k_r", "k")])
+    got = out.aggregate(["k", "n"], [g.count_star(), g.count(g.col("b")), g.min_(g.col("a")), g.max_(g.col("b"))])
+    assert inspect.optimized(got.df).split("Join")[-1].count("Aggregate") == 3
+    assert rows(got) == [(1, "x", 90_000_000_000, 90_000_000_000, 0, 299_999)]
+
+
+@pytest.mark.parametrize("keys", [["k"], ["n", g.col("j_r") + 1], ["a", "b"], []])
+def test_aggregates_over_joins_equal_those_over_the_joined_rows(spark, keys):
+    rng = random.Random(5)
+    some = lambda v: None if rng.random() < 0.2 else v
+    make = lambda n: [(some(rng.randrange(4)), some(rng.randrange(3)), some(rng.randrange(-9, 9)), some(rng.randrange(64) / 8)) for _ in range(n)]
+    left, right = rel(spark, "k int, j int, a int, x double", *make(60)), rel(spark, "K bigint, j int, b bigint, y double", *make(50))
+    tags = rel(spark, "J int, n string", (0, "o"), (1, "p"), (1, None), (9, "q"))
+    for joined in (left.join(right, [("k", "K")]).join(tags, [("j", "J")]), left.join(right.join(tags, [("J", "j")], broadcast=True), [("K", "k"), ("j", "j")])):
+        c = {x.lower(): g.col(x) for x in joined.df.columns}
+        aggs = [g.count_star(), g.functions.Aggregate("count", g.lit(None)), g.sum_(c["a"] * c["b"]).alias("ab"), g.avg(c["x"] + c["y"]).alias("xy")]
+        for name in "abxy":
+            aggs += [f(c[name]).alias(f"{name}{k}") for k, f in enumerate((g.count, g.sum_, g.min_, g.max_, g.avg))]
+        got, want = joined.aggregate(keys, aggs), Relation(joined.df).aggregate(keys, aggs)
+        assert [(f.name, f.dataType) for f in got.df.schema] == [(f.name, f.dataType) for f in want.df.schema]
+        assert len(rows(want)) > 0
+        for x, y in zip(sorted(rows(got), key=str), sorted(rows(want), key=str), strict=True):
+            assert x == pytest.approx(y)
+        if keys:
+            assert sorted(rows(joined.aggregate(keys)), key=str) == sorted(rows(Relation(joined.df).aggregate(keys)), key=str)
+        empty = left.filter(g.col("a") > 99).join(right, [("k", "k")])
+        some_aggs = [g.count_star(), g.sum_(g.col("b")), g.avg(g.col("x")), g.count(g.col("y"))]
+        assert rows(empty.aggregate(aggs=some_aggs)) == [(0, None, None, 0)]
