@@ -74,22 +74,28 @@ def load_frame(lines: DataFrame, schema: T.StructType, options: DelimitedOptions
 def _typed(lines: DataFrame, schema: T.StructType, options: DelimitedOptions) -> DataFrame:
     if not options.delimiter:
         raise BindError("the delimiter is empty")
-    line = F.regexp_replace("value", r"\r$", "")
-    lines = lines.select(line.alias("value")).filter(F.length("value") > 0)
+    lines = lines.select(_once(F.regexp_replace("value", r"\r$", "")).alias("value")).filter(F.length("value") > 0)
     text = F.col("value")
     if options.trailing_delimiter:
         text = F.regexp_replace(text, re.escape(options.delimiter) + "$", "")
-    parts = lines.select("value", F.split(text, re.escape(options.delimiter), -1).alias("f"))
+    parts = lines.select("value", _once(F.split(text, re.escape(options.delimiter), -1)).alias("f"))
     fields = [_field(F.get("f", F.lit(k)), f.dataType, options.null_token) for k, f in enumerate(schema.fields)]
     wrong = F.when(F.size("f") != len(schema), F.lit(f"expected {len(schema)} fields"))
     for f, (_, bad) in zip(schema.fields, fields, strict=True):
         wrong = wrong.when(bad, F.lit(f"column {f.name}: not {G.name_of(f.dataType)}"))
-    first = parts.select(wrong.alias("why"), "value").filter("why is not null").limit(1).collect()
+    bad = parts.select(_once(wrong).alias("why"), "value").filter("why is not null")
+    placed = bad.withColumn("place", F.monotonically_increasing_id())
+    (first,) = placed.agg(F.min_by(F.struct("why", "value"), "place")).first()
     if first:
-        raise LoadError(f"{first[0]['why']}, in line {first[0]['value']!r}")
+        raise LoadError(f"{first['why']}, in line {first['value']!r}")
     return parts.select(*[v.alias(f.name) for f, (v, _) in zip(schema.fields, fields, strict=True)])
 
 
+def _once(value: Column) -> Column:
+    """The same value from a generator, which Catalyst computes once a row: it copies a column into each of its uses."""
+    return F.explode(F.array(value))
+
+
 def _field(raw: Column, kind: T.DataType, null_token: str) -> tuple[Column, Column]:
     """The value of a field, and whether it is malformed."""
     null = raw == null_token

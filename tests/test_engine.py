@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import granary as g
+from granary import queries
 from granary.functions import date
 from granary.operators import Order, Relation
 from granary.plans import inspect
 from granary.plans.sqltext import parse
-from granary.sources import CSV, TBL, DelimitedOptions, load_delimited, load_lines
+from granary.sources import CSV, TBL, DelimitedOptions, load_delimited, load_frame, load_lines
 from granary.types import schema
 
 
@@ -301,3 +302,26 @@ def test_aggregates_over_joins_equal_those_over_the_joined_rows(spark, keys):
         empty = left.filter(g.col("a") > 99).join(right, [("k", "k")])
         some_aggs = [g.count_star(), g.sum_(g.col("b")), g.avg(g.col("x")), g.count(g.col("y"))]
         assert rows(empty.aggregate(aggs=some_aggs)) == [(0, None, None, 0)]
+
+
+def _loaded_orders(spark, sf, monkeypatch, name):
+    """The rows of a loader query, and the optimized plan of each job of its load."""
+    plans, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (plans.append(inspect.optimized(df)), collect(df))[1])
+    return queries.queries()[name](spark, sf), plans
+
+
+def test_a_tbl_load_splits_each_line_once_a_pass(spark, sf, monkeypatch):
+    out, plans = _loaded_orders(spark, sf, monkeypatch, "load_tbl")
+    assert [p.count("split(") for p in [*plans, inspect.optimized(out)]] == [1, 1]
+    assert [p.count("concat_ws(") for p in [*plans, inspect.optimized(out)]] == [1, 1]
+    assert not any("Limit" in p for p in plans)
+
+
+def test_the_first_bad_line_is_named(spark):
+    lines = spark.range(0, 4000, 1, 7).selectExpr("if(id in (2900, 3100), 'x' || id || ',1', id || ',1') AS line")
+    with pytest.raises(g.LoadError, match="column a: not INT64, in line 'x2900,1'"):
+        load_frame(lines, schema(a="INT64", b="INT32"))
+    good = load_frame(lines.filter("line not like 'x%'"), schema(a="INT64", b="INT32"))
+    assert sorted(r.a for r in good.collect()) == [k for k in range(4000) if k not in (2900, 3100)]
