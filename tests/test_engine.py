@@ -325,6 +325,12 @@ def test_a_load_with_a_null_token_splits_each_line_once_a_pass(spark, sf, monkey
     assert [p.count("concat_ws(") for p in [*plans, inspect.optimized(out)]] == [1, 1]
 
 
+def test_a_csv_load_splits_each_line_once_a_pass(spark, sf, monkeypatch):
+    out, plans = _loaded_orders(spark, sf, monkeypatch, "load_csv")
+    assert [p.count("split(") for p in [*plans, inspect.optimized(out)]] == [1, 1]
+    assert [p.count("concat_ws(") for p in [*plans, inspect.optimized(out)]] == [1, 1]
+
+
 def test_the_first_bad_line_is_named(spark):
     lines = spark.range(0, 4000, 1, 7).selectExpr("if(id in (2900, 3100), 'x' || id || ',1', id || ',1') AS line")
     with pytest.raises(g.LoadError, match="column a: not INT64, in line 'x2900,1'"):
